@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from docloom.llm.pii import op7_pii
 from docloom.llm.token_counts import op8_token_counts
 
-QUERIES = {"op8_token_counts": op8_token_counts}
+QUERIES = {"op7_pii": op7_pii, "op8_token_counts": op8_token_counts}
 
 ORACLE_SQL: dict[str, str] = {}
