@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from docloom.llm.pii import op7_pii
+from docloom.llm.secrets import op9_secrets
 from docloom.llm.token_counts import op8_token_counts
 
-QUERIES = {"op7_pii": op7_pii, "op8_token_counts": op8_token_counts}
+QUERIES = {"op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
