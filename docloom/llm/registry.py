@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from docloom.llm.chat import op3_chat
 from docloom.llm.pii import op7_pii
+from docloom.llm.quality import op6_quality
 from docloom.llm.secrets import op9_secrets
 from docloom.llm.token_counts import op8_token_counts
 
-QUERIES = {"op3_chat": op3_chat, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets}
+QUERIES = {"op6_quality": op6_quality, "op3_chat": op3_chat, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -50,7 +50,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     done = 1
     while done < n:
         step = min(done, n - done)
-        out[done : done + step] = out[:step] * (out[done - 1] * base)
+        out[done : done + step] = out[:step] * (out[done - 1 : done] * base)
         done += step
     return out[:n]
 
