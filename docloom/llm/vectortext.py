@@ -14,6 +14,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Every ASCII byte but letters and digits: words are then free of punctuation.
+NO_WORD = np.arange(256) < 128
+NO_WORD[48:58] = NO_WORD[65:91] = NO_WORD[97:123] = False
 
 #: Odd multiplier of the polynomial word hash, its inverse modulo 2**64, and that of the shingle hash.
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -58,11 +61,11 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 class WordIndex:
     """Words of a batch: where each starts and ends, its document, its 64-bit hash."""
 
-    def __init__(self, column: pa.Array) -> None:
+    def __init__(self, column: pa.Array, separators: np.ndarray = _SPACE) -> None:
         data, offsets = buffers(column)
         self.rows = len(column)
         self.data = _LOWER[data]
-        space = _SPACE[data]
+        space = separators[data]
         inside = ~space
         first = inside.copy()
         first[1:] &= space[:-1]
