@@ -5,11 +5,12 @@ from __future__ import annotations
 from docloom.llm.chat import op3_chat
 from docloom.llm.decontaminate import op5_decontaminate
 from docloom.llm.near_dup import op10_near_dup
+from docloom.llm.packing import op1_packing
 from docloom.llm.pii import op7_pii
 from docloom.llm.quality import op6_quality
 from docloom.llm.secrets import op9_secrets
 from docloom.llm.token_counts import op8_token_counts
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op10_near_dup": op10_near_dup, "op6_quality": op6_quality, "op3_chat": op3_chat, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets}
+QUERIES = {"op1_packing": op1_packing, "op5_decontaminate": op5_decontaminate, "op10_near_dup": op10_near_dup, "op6_quality": op6_quality, "op3_chat": op3_chat, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
