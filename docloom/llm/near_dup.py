@@ -2,11 +2,13 @@
 
 Equal shingle sets collapse to one class first.  Signatures come from two
 permutations, one of them circularly shifted for each coordinate.  Bands of
-coordinates propose candidates in two rounds: each bucket's members against the
-bucket's first one, and then only pairs that still lie in different components.
-Signatures drop clear misses; all other candidates are confirmed on full sets.
-So a bucket of very many near copies gives as many pairs as it has members, and
-a bucket of unrelated texts gives none.
+coordinates propose candidates in three rounds: each document against the first
+members of the few buckets that it shares most often; then, where a bucket still
+spans several components, its members against its first one; then all other
+pairs of a bucket that still lie in different components.  Signatures drop
+clear misses; all other candidates are confirmed on full sets.  So a bucket of
+very many near copies gives as many pairs as it has members, and one of
+unrelated texts gives none.
 """
 
 from __future__ import annotations
@@ -30,7 +32,9 @@ WIDTH = 5
 SIMILARITY = 75
 #: Share of equal coordinates from which a candidate is confirmed on full sets; 0.75 is five deviations above.
 PLAUSIBLE = 0.6
-_EMPTY_SKETCH = "doc_id long, n int, digest binary, bands array<long>, sketch binary"
+#: Buckets' first members that the first round tries for each document; the later rounds try all others that matter.
+NEAREST = 3
+_SKETCH = "doc_id long, n int, digest binary, bands array<long>, sketch binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +69,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket: plausible pairs of different components, but for those with the bucket's first member."""
+    """Of rows sorted by bucket: plausible pairs of different components, but for those with the bucket's first member, which were tried before."""
 
     def pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[list, list]:
         order = np.argsort(ids, kind="stable")[1:]
@@ -184,22 +188,30 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     small_batches(documents.sparkSession)
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = materialize(documents.mapInArrow(_sketch, _EMPTY_SKETCH), "sketches")
+    sketches = materialize(documents.mapInArrow(_sketch, _SKETCH), "sketches")
     classes = materialize(sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid")), "set-classes")
     first = sketches.join(classes, (sketches.digest == classes.digest) & (sketches.doc_id == classes.cid)).select("cid", "n", "bands").dropDuplicates(["cid"])
     bucket = Window.partitionBy("key")
     members = first.select(F.explode("bands").alias("key"), "cid", "n").withColumns({"size": F.count("*").over(bucket), "leader": F.min(F.struct("cid", "n")).over(bucket)})
-    members = materialize(members.where("size > 1").select("key", "cid", "n", "size", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket-members")
-    likely = f"cid <> leader and 100L * least(n, leader_n) >= {SIMILARITY}L * greatest(n, leader_n)"
-    one = _links(documents, sketches, members.where(likely).select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), sketched=True)
-    found = materialize(connected_components(one), "components")
-    placed = members.where("size > 2").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-    placed = placed.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high").select("key", "cid", "n", "comp")
-    placed = placed.join(sketches.select(F.col("doc_id").alias("cid"), "sketch").dropDuplicates(["cid"]), "cid")
-    crossing = placed.repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "a long, b long")
-    two = _links(documents, sketches, crossing, sketched=False)
-    if not two.isEmpty():
-        found = materialize(connected_components(one.union(two)), "components")
+    members = materialize(members.where("size > 1").select("key", "cid", "n", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket-members")
+    likely = f"100L * least(n, leader_n) >= {SIMILARITY}L * greatest(n, leader_n)"
+    stars = members.where("cid <> leader").where(likely).groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
+    links = _links(documents, sketches, stars.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b"), sketched=True)
+    found = materialize(connected_components(links), "components")
+    for star in (True, False):
+        still = members.select("key", "cid", "n").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
+        still = still.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket), "leader": F.min(F.struct("cid", "n", "comp")).over(bucket)}).where("low <> high")
+        members = materialize(still.select("key", "cid", "n", "comp", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.comp").alias("leader_comp")), "open-buckets")
+        if star:
+            pairs = members.where("comp <> leader_comp").where(likely).select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
+        else:
+            own = sketches.select(F.col("doc_id").alias("cid"), "sketch").dropDuplicates(["cid"])
+            pairs = members.select("key", "cid", "n", "comp").join(own, "cid").repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "a long, b long")
+        more = _links(documents, sketches, pairs, sketched=star)
+        if not more.isEmpty():
+            links = links.union(more)
+            found = materialize(connected_components(links), "components")
     named = classes.join(found, classes.cid == found.id, "left").select("digest", F.coalesce("component", "cid").alias("component"))
     rows = sketches.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
