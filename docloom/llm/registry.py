@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from docloom.llm.chat import op3_chat
 from docloom.llm.decontaminate import op5_decontaminate
+from docloom.llm.language_model import op4_language_model
 from docloom.llm.near_dup import op10_near_dup
 from docloom.llm.nearest import op2_nearest
 from docloom.llm.packing import op1_packing
@@ -12,6 +13,6 @@ from docloom.llm.quality import op6_quality
 from docloom.llm.secrets import op9_secrets
 from docloom.llm.token_counts import op8_token_counts
 
-QUERIES = {"op2_nearest": op2_nearest, "op1_packing": op1_packing, "op5_decontaminate": op5_decontaminate, "op10_near_dup": op10_near_dup, "op6_quality": op6_quality, "op3_chat": op3_chat, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets}
+QUERIES = {"op4_language_model": op4_language_model, "op2_nearest": op2_nearest, "op1_packing": op1_packing, "op5_decontaminate": op5_decontaminate, "op10_near_dup": op10_near_dup, "op6_quality": op6_quality, "op3_chat": op3_chat, "op7_pii": op7_pii, "op8_token_counts": op8_token_counts, "op9_secrets": op9_secrets}
 
 ORACLE_SQL: dict[str, str] = {}
