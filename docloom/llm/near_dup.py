@@ -68,14 +68,14 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket: plausible pairs of different components, but for those with the bucket's first member, which were tried before."""
+def _crossing(stars: bool):
+    """Of rows sorted by bucket: plausible pairs of different components, those with the bucket's first member if ``stars``, else all others."""
 
     def pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[list, list]:
-        order = np.argsort(ids, kind="stable")[1:]
+        order = np.argsort(ids, kind="stable")[0 if stars else 1 :]
         ids, comp, n, sketch = ids[order], comp[order], n[order].astype(np.int64), sketch[order]
         left, right = [], []
-        for k in range(len(ids) - 1):
+        for k in range(1 if stars else len(ids) - 1):
             near = np.flatnonzero((comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= SIMILARITY * np.maximum(n[k + 1 :], n[k]))) + k + 1
             if len(near):
                 near = near[(sketch[near] == sketch[k]).mean(axis=1) >= PLAUSIBLE]
@@ -83,8 +83,6 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 right += ids[near].tolist()
         return left, right
 
-    held: list[pa.RecordBatch] = []
-
     def flush(rows: pa.Table) -> pa.RecordBatch:
         key = rows.column("key").to_numpy()
         ids, comp, n = (rows.column(c).to_numpy() for c in ("cid", "comp", "n"))
@@ -92,28 +90,30 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         left, right = [], []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            if e - s > 2:
+            if e - s > 1:
                 more = pairs(ids[s:e], comp[s:e], n[s:e], sketch[s:e])
                 left += more[0]
                 right += more[1]
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("key").to_numpy()
-        cut = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
-        if held and cut:
-            yield flush(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held = []
-        elif cut:
-            yield flush(pa.Table.from_batches([batch.slice(0, cut)]))
-        elif held and held[-1].column("key")[0].as_py() != int(key[0]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the bucket that may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            if held and held[-1].column("key")[0].as_py() != int(key[0]):
+                yield flush(pa.Table.from_batches(held))
+                held = []
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
             yield flush(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield flush(pa.Table.from_batches(held))
+
+    return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +162,13 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(given.mapInArrow(run, "id long, shingles binary"), "shingle-sets")
 
 
-def _links(documents: DataFrame, sketches: DataFrame, pairs: DataFrame, sketched: bool) -> DataFrame:
+def _alike_only(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` whose sketches agree often enough."""
+    return pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
+
+
+def _links(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """Confirmed links among candidate pairs ``(a, b)``."""
-    if sketched:
-        own = sketches.select("doc_id", "sketch")
-        pairs = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
     pairs = materialize(pairs.distinct(), "candidate-pairs")
     if pairs.isEmpty():
         return pairs
@@ -188,27 +190,26 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     small_batches(documents.sparkSession)
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = materialize(documents.mapInArrow(_sketch, _SKETCH), "sketches")
-    classes = materialize(sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid")), "set-classes")
-    first = sketches.join(classes, (sketches.digest == classes.digest) & (sketches.doc_id == classes.cid)).select("cid", "n", "bands").dropDuplicates(["cid"])
+    sketches = materialize(documents.mapInArrow(_sketch, _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    classes = materialize(classes.select("digest", F.col("least.doc_id").alias("cid"), F.col("least.row").alias("row")), "set-classes")
+    first = materialize(sketches.select("row", "n", "bands", "sketch").join(classes.select("row", "cid"), "row").drop("row"), "class-sketches")
     bucket = Window.partitionBy("key")
     members = first.select(F.explode("bands").alias("key"), "cid", "n").withColumns({"size": F.count("*").over(bucket), "leader": F.min(F.struct("cid", "n")).over(bucket)})
     members = materialize(members.where("size > 1").select("key", "cid", "n", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket-members")
     likely = f"100L * least(n, leader_n) >= {SIMILARITY}L * greatest(n, leader_n)"
     stars = members.where("cid <> leader").where(likely).groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
+    own = first.select("cid", "sketch")
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    links = _links(documents, sketches, stars.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b"), sketched=True)
+    nearest = stars.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b")
+    links = _links(documents, _alike_only(nearest, own))
     found = materialize(connected_components(links), "components")
-    for star in (True, False):
+    for with_first in (True, False):
         still = members.select("key", "cid", "n").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-        still = still.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket), "leader": F.min(F.struct("cid", "n", "comp")).over(bucket)}).where("low <> high")
-        members = materialize(still.select("key", "cid", "n", "comp", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n"), F.col("leader.comp").alias("leader_comp")), "open-buckets")
-        if star:
-            pairs = members.where("comp <> leader_comp").where(likely).select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct()
-        else:
-            own = sketches.select(F.col("doc_id").alias("cid"), "sketch").dropDuplicates(["cid"])
-            pairs = members.select("key", "cid", "n", "comp").join(own, "cid").repartition("key").sortWithinPartitions("key").mapInArrow(_crossing, "a long, b long")
-        more = _links(documents, sketches, pairs, sketched=star)
+        still = still.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high")
+        members = materialize(still.select("key", "cid", "n", "comp"), "open-buckets")
+        pairs = members.join(own, "cid").repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(with_first), "a long, b long")
+        more = _links(documents, pairs)
         if not more.isEmpty():
             links = links.union(more)
             found = materialize(connected_components(links), "components")
