@@ -221,3 +221,22 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def without_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows and columns of the documents that their component keeps.
+
+    Of rows that repeat a kept id, one stays: the least by text, the others'
+    columns of that row going with it; rows without id all stay.
+    """
+    judged = near_duplicates(documents, id_col, text_col)
+    gone = materialize(judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-duplicates")
+    repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
+    left = documents.join(gone, documents[id_col].cast("long") == gone["__id"], "left_anti")
+    repeated = materialize(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return left
+    same = left[id_col].cast("long") == repeated["__id"]
+    order = Window.partitionBy(id_col).orderBy(text_col)
+    once = left.join(repeated, same, "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return left.join(repeated, same, "left_anti").unionByName(once)
