@@ -2,13 +2,11 @@
 
 Equal shingle sets collapse to one class first.  Signatures come from two
 permutations, one of them circularly shifted for each coordinate.  Bands of
-coordinates propose candidates in three rounds: each document against the first
+coordinates propose candidates in two rounds: each document against the first
 members of the few buckets that it shares most often; then, where a bucket still
-spans several components, its members against its first one; then all other
-pairs of a bucket that still lie in different components.  Signatures drop
-clear misses; all other candidates are confirmed on full sets.  So a bucket of
-very many near copies gives as many pairs as it has members, and one of
-unrelated texts gives none.
+spans several components, all its pairs between them.  Signatures drop clear
+misses; all other candidates are confirmed on full sets, those of the second
+round block by block, so that no step has a row for each pair of a large group.
 """
 
 from __future__ import annotations
@@ -32,7 +30,7 @@ WIDTH = 5
 SIMILARITY = 75
 #: Share of equal coordinates from which a candidate is confirmed on full sets; 0.75 is five deviations above.
 PLAUSIBLE = 0.6
-#: Buckets' first members that the first round tries for each document; the later rounds try all others that matter.
+#: Buckets' first members that the first round tries for each document; the second round tries all others that matter.
 NEAREST = 3
 _SKETCH = "doc_id long, n int, digest binary, bands array<long>, sketch binary"
 
@@ -68,33 +66,37 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-def _crossing(stars: bool):
-    """Of rows sorted by bucket: plausible pairs of different components, those with the bucket's first member if ``stars``, else all others."""
+#: Ids of a block, and documents that meet one block in one task, when pairs between components are confirmed.
+BLOCK_IDS = 2_000
+_OPEN = "a long, block int, bs array<long>, comps array<long>"
 
-    def pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[list, list]:
-        order = np.argsort(ids, kind="stable")[0 if stars else 1 :]
-        ids, comp, n, sketch = ids[order], comp[order], n[order].astype(np.int64), sketch[order]
-        left, right = [], []
-        for k in range(1 if stars else len(ids) - 1):
-            near = np.flatnonzero((comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= SIMILARITY * np.maximum(n[k + 1 :], n[k]))) + k + 1
-            if len(near):
-                near = near[(sketch[near] == sketch[k]).mean(axis=1) >= PLAUSIBLE]
-                left += [int(ids[k])] * len(near)
-                right += ids[near].tolist()
-        return left, right
+
+def _crossing(blocks: int):
+    """Of rows sorted by bucket: for each member the plausible later members of other components, a row for each block of theirs.
+
+    Rows with a null ``a`` list the ids that any pair has, so that no later
+    step needs a row for each pair.
+    """
 
     def flush(rows: pa.Table) -> pa.RecordBatch:
         key = rows.column("key").to_numpy()
-        ids, comp, n = (rows.column(c).to_numpy() for c in ("cid", "comp", "n"))
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        cid, comps, sizes = (rows.column(c).to_numpy() for c in ("cid", "comp", "n"))
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        left, right = [], []
+        out, used = [], []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            if e - s > 1:
-                more = pairs(ids[s:e], comp[s:e], n[s:e], sketch[s:e])
-                left += more[0]
-                right += more[1]
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            order = np.argsort(cid[s:e], kind="stable") + s
+            ids, comp, n, sketch = cid[order], comps[order], sizes[order].astype(np.int64), sketches[order]
+            for k in range(e - s - 1):
+                near = np.flatnonzero((comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= SIMILARITY * np.maximum(n[k + 1 :], n[k]))) + k + 1
+                near = near[(sketch[near] == sketch[k]).mean(axis=1) >= PLAUSIBLE] if len(near) else near
+                if len(near):
+                    used += [ids[k : k + 1], ids[near]]
+                    at = ids[near] % blocks
+                    out += [(int(ids[k]), int(block), ids[near[at == block]], comp[near[at == block]]) for block in np.unique(at)]
+        out.append((None, -1, np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64), []))
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["a", "block", "bs", "comps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the bucket that may go on in the next batch
@@ -116,6 +118,25 @@ def _crossing(stars: bool):
     return run
 
 
+def _confirm_blocks(sets: pa.Table, asked: pa.Table) -> pa.Table:
+    """For each asking document one link to each other component that has any, from the block's full sets."""
+    of = {i: np.frombuffer(x.as_py(), np.uint64) for i, x in zip(sets["id"].to_pylist(), sets["shingles"], strict=True)}
+    left, right = [], []
+    for a, x, bs, comps in zip(asked["a"].to_pylist(), asked["xa"], asked["bs"].to_pylist(), asked["comps"].to_pylist(), strict=True):
+        own = np.frombuffer(x.as_py(), np.uint64)
+        there = [(b, c, of[b]) for b, c in zip(bs, comps, strict=True) if b in of]
+        if not there or not len(own):
+            continue
+        n = np.array([len(t[2]) for t in there])
+        flat = np.concatenate([t[2] for t in there])
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n)[:-1]]))
+        linked = {there[k][1]: there[k][0] for k in np.flatnonzero(100 * both >= SIMILARITY * (n + len(own) - both))}
+        left += [a] * len(linked)
+        right += linked.values()
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among candidate pairs, on their full sets."""
     for batch in batches:
@@ -177,6 +198,29 @@ def _links(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(whole.mapInArrow(_confirm, "a long, b long").distinct(), "links")
 
 
+def _links_between(documents: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links between the components that meet in a bucket: at least one for each two that any pair of the bucket links.
+
+    Sets are compared block by block: a document's set goes once to each block
+    that holds a candidate of it, however many candidates that are.
+    """
+    blocks = max(1, -(-members.select("cid").distinct().count() // BLOCK_IDS))
+    near = members.join(sketches, "cid").repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(blocks), _OPEN)
+    near = materialize(near, "open-candidates")
+    ids = near.where("a is null").select(F.explode("bs").alias("id")).distinct()
+    asked = near.where("a is not null").groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("bs", "comps")))).alias("z"))
+    asked = materialize(asked.select("a", "block", F.col("z.bs").alias("bs"), F.col("z.comps").alias("comps")), "open-asked")
+    if asked.isEmpty():
+        return asked.select("a", F.col("a").alias("b"))
+    sets = _sets_of(documents, ids)
+    chunks = max(1, -(-asked.select("a").distinct().count() // BLOCK_IDS))
+    asked = asked.join(sets.toDF("a", "xa"), "a").withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)))
+    wanted = asked.select("block", "chunk").distinct().toDF("block", "part")
+    held = sets.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int")).join(wanted, "block")
+    found = held.groupBy("block", "part").cogroup(asked.groupBy("block", "chunk")).applyInArrow(_confirm_blocks, "a long, b long")
+    return materialize(found.distinct(), "links")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of each input row.
 
@@ -193,26 +237,23 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sketches = materialize(documents.mapInArrow(_sketch, _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("least"))
     classes = materialize(classes.select("digest", F.col("least.doc_id").alias("cid"), F.col("least.row").alias("row")), "set-classes")
-    first = materialize(sketches.select("row", "n", "bands", "sketch").join(classes.select("row", "cid"), "row").drop("row"), "class-sketches")
+    whole = sketches.select("row", "n", "bands", "sketch").join(classes.select("row", "cid"), "row")
     bucket = Window.partitionBy("key")
-    members = first.select(F.explode("bands").alias("key"), "cid", "n").withColumns({"size": F.count("*").over(bucket), "leader": F.min(F.struct("cid", "n")).over(bucket)})
+    members = whole.select(F.explode("bands").alias("key"), "cid", "n").withColumns({"size": F.count("*").over(bucket), "leader": F.min(F.struct("cid", "n")).over(bucket)})
     members = materialize(members.where("size > 1").select("key", "cid", "n", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket-members")
+    own = whole.select("cid", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
+    own = materialize(own, "member-sketches")
     likely = f"100L * least(n, leader_n) >= {SIMILARITY}L * greatest(n, leader_n)"
     stars = members.where("cid <> leader").where(likely).groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
-    own = first.select("cid", "sketch")
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
     nearest = stars.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b")
     links = _links(documents, _alike_only(nearest, own))
     found = materialize(connected_components(links), "components")
-    for with_first in (True, False):
-        still = members.select("key", "cid", "n").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-        still = still.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high")
-        members = materialize(still.select("key", "cid", "n", "comp"), "open-buckets")
-        pairs = members.join(own, "cid").repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(with_first), "a long, b long")
-        more = _links(documents, pairs)
-        if not more.isEmpty():
-            links = links.union(more)
-            found = materialize(connected_components(links), "components")
+    still = members.select("key", "cid", "n").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
+    still = still.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high")
+    more = _links_between(documents, materialize(still.select("key", "cid", "n", "comp"), "open-buckets"), own)
+    if not more.isEmpty():
+        found = materialize(connected_components(links.union(more)), "components")
     named = classes.join(found, classes.cid == found.id, "left").select("digest", F.coalesce("component", "cid").alias("component"))
     rows = sketches.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
