@@ -68,6 +68,8 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Ids of a block, and documents that meet one block in one task, when pairs between components are confirmed.
 BLOCK_IDS = 2_000
+#: Candidates up to which a document's are confirmed pair by pair in the second round.
+FEW = 8
 _OPEN = "a long, block int, bs array<long>, comps array<long>"
 
 
@@ -188,37 +190,44 @@ def _alike_only(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike, "a long, b long")
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    whole = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    return whole.mapInArrow(_confirm, "a long, b long")
+
+
 def _links(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """Confirmed links among candidate pairs ``(a, b)``."""
     pairs = materialize(pairs.distinct(), "candidate-pairs")
     if pairs.isEmpty():
         return pairs
     sets = _sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    whole = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-    return materialize(whole.mapInArrow(_confirm, "a long, b long").distinct(), "links")
+    return materialize(_confirmed(pairs, sets).distinct(), "links")
 
 
 def _links_between(documents: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links between the components that meet in a bucket: at least one for each two that any pair of the bucket links.
 
-    Sets are compared block by block: a document's set goes once to each block
-    that holds a candidate of it, however many candidates that are.
+    A document with few candidates is confirmed pair by pair.  One with many
+    lies in a dense group: its set goes once to each block of ids that holds a
+    candidate of it, however many those are, and a block that very many
+    documents ask for is laid out several times.
     """
     blocks = max(1, -(-members.select("cid").distinct().count() // BLOCK_IDS))
     near = members.join(sketches, "cid").repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(blocks), _OPEN)
     near = materialize(near, "open-candidates")
-    ids = near.where("a is null").select(F.explode("bs").alias("id")).distinct()
     asked = near.where("a is not null").groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("bs", "comps")))).alias("z"))
-    asked = materialize(asked.select("a", "block", F.col("z.bs").alias("bs"), F.col("z.comps").alias("comps")), "open-asked")
+    asked = asked.select("a", "block", F.col("z.bs").alias("bs"), F.col("z.comps").alias("comps"), F.sum(F.size("z")).over(Window.partitionBy("a")).alias("many"))
+    asked = materialize(asked, "open-asked")
     if asked.isEmpty():
         return asked.select("a", F.col("a").alias("b"))
-    sets = _sets_of(documents, ids)
-    chunks = max(1, -(-asked.select("a").distinct().count() // BLOCK_IDS))
-    asked = asked.join(sets.toDF("a", "xa"), "a").withColumn("chunk", F.pmod(F.xxhash64("a"), F.lit(chunks)))
-    wanted = asked.select("block", "chunk").distinct().toDF("block", "part")
-    held = sets.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int")).join(wanted, "block")
-    found = held.groupBy("block", "part").cogroup(asked.groupBy("block", "chunk")).applyInArrow(_confirm_blocks, "a long, b long")
-    return materialize(found.distinct(), "links")
+    sets = _sets_of(documents, near.where("a is null").select(F.explode("bs").alias("id")).distinct())
+    few = _confirmed(asked.where(F.col("many") <= FEW).select("a", F.explode("bs").alias("b")), sets)
+    dense = asked.where(F.col("many") > FEW)
+    widths = materialize(dense.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK_IDS)).alias("width")), "block-widths")
+    to = dense.join(sets.toDF("a", "xa"), "a").join(widths.toDF("block", "w"), "block").withColumn("part", F.pmod(F.xxhash64("a"), F.col("w"))).select("a", "block", "part", "bs", "comps", "xa")
+    held = sets.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int")).join(widths, "block").select("id", "shingles", "block", F.explode(F.expr("sequence(0L, width - 1)")).alias("part"))
+    many = held.groupBy("block", "part").cogroup(to.groupBy("block", "part")).applyInArrow(_confirm_blocks, "a long, b long")
+    return materialize(few.union(many).distinct(), "links")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
