@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
-ARROW_ROWS = 1000
+ARROW_ROWS = 256
 _LOCAL_SHARED = "/tmp/docloom-shared"
 
 
