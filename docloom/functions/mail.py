@@ -60,9 +60,9 @@ def addresses(c: Column | str) -> Column:
 
 
 def decode_base64url(c: Column | str) -> Column:
-    col = F.translate(c, "-_", "+/")
-    padded = F.concat(col, F.repeat(F.lit("="), F.pmod(F.lit(4) - F.length(col) % 4, F.lit(4))))
-    return F.decode(F.unbase64(padded), "UTF-8")
+    """Text of a base64url part, padded or not; line breaks within are allowed."""
+    col = F.rtrim(F.translate(c, "-_\r\n", "+/"), F.lit("="))
+    return F.decode(F.unbase64(F.concat(col, F.repeat(F.lit("="), F.pmod(-F.length(col), F.lit(4))))), "UTF-8")
 
 
 def iso_date(date: Column | str, internal_ms: Column | None = None) -> Column:

@@ -48,13 +48,13 @@ def row_rules(r: Rules) -> list[tuple[str, str, str]]:
         ("sprint", "invalid", f"doc_type in {quoted(SPRINT_REQUIRED)} and {sprint} is not null and not {valid}"),
         ("sprint", "forbidden", f"doc_type in {quoted(SPRINT_FORBIDDEN)} and {sprint} is not null"),
         ("quarter", "unmapped sprint", f"{sprint} is not null and {quarter} is null"),
-        ("quarter", "not the sprint's", f"{sprint} is not null and {quarter} is not null and (quarter is null or quarter <> {quarter})"),
+        ("quarter", "not of the sprint", f"{sprint} is not null and {quarter} is not null and (quarter is null or quarter <> {quarter})"),
         ("quarter", "without sprint", f"{sprint} is null and {no_type} not in {quoted(QUARTER_FREE)} and quarter is not null"),
         ("quarter", "invalid", "quarter not in ('Q1', 'Q2', 'Q3', 'Q4')"),
         ("folder", "invalid", f"{mail} and folder is not null and not ({known})"),
         ("folder", "missing", f"{other} and {blank('folder')}"),
         ("folder", "invalid", f"{other} and {filled('folder')} and not ({known})"),
-        ("folder", "not the type's", f"{other} and {known} and not ({allowed})"),
+        ("folder", "not of the type", f"{other} and {known} and not ({allowed})"),
         ("source_type", "null", "source_type is null"),
         ("source_type", "invalid", f"source_type not in ('{r.file_source}', '{r.mail_source}')"),
         ("source_type", "mail from files", f"{mail} and source_type = '{r.file_source}'"),
