@@ -44,7 +44,7 @@ def first_filled(*cols: Column | str) -> Column:
 
 def ticket_ids(c: Column | str) -> Column:
     """Distinct ticket ids in upper case, in the order of their first mention."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("(?i)" + TICKET), F.lit(0)), F.upper))
+    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("(?iU)" + TICKET), F.lit(0)), F.upper))
 
 
 def filter_tickets(ids: Column | str, prefixes: list[str]) -> Column:
@@ -55,7 +55,7 @@ def filter_tickets(ids: Column | str, prefixes: list[str]) -> Column:
 
 def people_in(c: Column | str, names: list[str]) -> Column:
     """Names of the list that the text mentions as whole words in any case, in the list's order."""
-    return F.array_compact(F.array(*(F.when(F.rlike(c, F.lit(rf"(?i)\b{n}\b")), F.lit(n)) for n in names)))
+    return F.array_compact(F.array(*(F.when(F.rlike(c, F.lit(rf"(?iU)\b{n}\b")), F.lit(n)) for n in names)))
 
 
 def filter_people(names: Column | str, allowed: list[str]) -> Column:

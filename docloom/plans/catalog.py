@@ -14,6 +14,7 @@ from docloom.functions.packing import recursive_chunks, sentence_chunks, word_ch
 from docloom.operators import chunk, retrieve, sync, threads, verify
 from docloom.operators.detect import detect_docx
 from docloom.plans import recipes as R
+from docloom.providers import HashedWords, embedding, question_rows
 from docloom.sources import pdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,7 +486,7 @@ def filter_tickets(spark, sf_dir):
     return _ticketed(spark, sf_dir).select("doc_id", F.array_join(T.filter_tickets(T.ticket_ids("content"), ["TECH", "OPS"]), ",").alias("tickets"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(['The', 'De', 'Und'], lambda n: regexp_matches(text, '(?i)(^|[^0-9A-Za-z_])' || n || '([^0-9A-Za-z_]|$)')), ',') AS people FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_filter(['The', 'De', 'Und'], lambda n: regexp_matches(text, '(?i)(^|[^\\pL\\pN_])' || n || '([^\\pL\\pN_]|$)')), ',') AS people FROM documents""")
 def extract_people(spark, sf_dir):
     return R.table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.people_in("text", ["The", "De", "Und"]), ",").alias("people"))
 
@@ -686,3 +687,17 @@ def validate_specs(spark, sf_dir):
 def ordered_bullets(spark, sf_dir):
     grouped = R.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").cast("int").alias("number"), F.lit("a").alias("author"), F.lit("d").alias("date"), F.col("o_orderpriority").alias("text"))).alias("cs"))
     return grouped.select("o_custkey", markup.acceptance_bullets(F.transform(markup.ordered_comments("cs"), lambda c: c["text"])).alias("bullets"))
+
+
+# Providers: their answers are no SQL, so that rows alone are compared
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    return R.table(spark, sf_dir, "documents").select("doc_id", embedding(HashedWords(), "text").alias("embedding"))
+
+
+@query()
+def chunk_questions(spark, sf_dir):
+    chunks = _ticketed(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "content", F.lit("Summary").alias("section_heading"), T.ticket_ids("content").alias("ticket_ids"))
+    return question_rows(chunks, HashedWords())

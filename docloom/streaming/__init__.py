@@ -1 +1 @@
-
+"""Continuous synchronisation."""
