@@ -48,3 +48,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def held_out(doc_id: Column, modulus: int) -> Column:
     """True where crc32 of the id as text has remainder 2; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == 2
+
+
+def about(df: DataFrame, key: str, wanted: int, total: int) -> DataFrame:
+    """About ``wanted`` of ``total`` rows, those whose key hashes low: a plain filter, so that no task gathers the others' candidates."""
+    if total <= wanted:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int((1 << 30) * (wanted / total))))
