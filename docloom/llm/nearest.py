@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, small_batches, table
+from docloom.llm.common import about, materialize, small_batches, table
 
-#: Vectors that the codebooks are fitted on, those of least hash; every vector is indexed.
+#: About how many vectors the codebooks are fitted on, those whose id hashes low; every vector is indexed.
 SAMPLE = 20_000
 #: Share of the sample's true neighbours that the calibrated search must meet.
 TARGET_RECALL = 0.97
@@ -29,7 +29,7 @@ CALIBRATION_QUERIES = 400
 #: Centroids for each half at most: bounds the table of cells at its square.
 MOST_CENTROIDS = 128
 #: Entries of a block, and queries that meet one block in one task.
-BLOCK_ROWS, QUERY_ROWS = 8_192, 8_192
+BLOCK_ROWS, QUERY_ROWS = 2_048, 8_192
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -172,7 +172,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     given = given.where(F.size("v") == sizes["d"]).dropDuplicates(["vec_id"])
-    sample = given.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    sample = about(given.select("vec_id", "v"), "vec_id", SAMPLE, sizes["count"]).toArrow().sort_by("vec_id")
     index = MultiIndex(_matrix(sample["v"]), sizes["count"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
