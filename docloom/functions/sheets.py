@@ -25,15 +25,19 @@ def plain(cells: str = "cells") -> Column:
     return F.array_join(F.expr(f"filter({cells}, c_ -> c_ is not null and {ustrip_sql('c_')} <> '')"), " | ")
 
 
+def _strategy() -> Column:
+    """From the filled rows ``n``, and of the first column its header ``head``, its ``total`` values and ``uniques`` among them."""
+    groups = (F.coalesce(ustrip(F.col("head")), F.lit("")) != "") & F.col("uniques").between(GROUP_LEAST, GROUP_MOST) & (F.col("total") > GROUP_REPEAT * F.col("uniques")) & (F.col("total") >= GROUP_PRESENCE * (F.col("n") - 1))
+    return F.when(F.col("n") <= SHEET_SINGLE_ROWS, "single_chunk").when(groups, "group_by_column").otherwise("row_based")
+
+
 def detect_sheets(rows: DataFrame) -> DataFrame:
     """``(doc_id, sheet_name, strategy, group_by_column)`` from the shape of each sheet."""
     filled = rows.where(_filled())
     first = F.col("cells")[0]
     shape = filled.withColumn("head_row", F.min("row_index").over(Window.partitionBy(*SHEET))).withColumn("value", F.when(F.col("row_index") > F.col("head_row"), first))
     shape = shape.groupBy(*SHEET).agg(F.count("*").alias("n"), F.max(F.when(F.col("row_index") == F.col("head_row"), first)).alias("head"), F.count("value").alias("total"), F.count_distinct("value").alias("uniques"))
-    groups = (F.coalesce(ustrip(F.col("head")), F.lit("")) != "") & F.col("uniques").between(GROUP_LEAST, GROUP_MOST) & (F.col("total") > GROUP_REPEAT * F.col("uniques")) & (F.col("total") / (F.col("n") - 1) >= GROUP_PRESENCE)
-    strategy = F.when(F.col("n") <= SHEET_SINGLE_ROWS, "single_chunk").when(groups, "group_by_column").otherwise("row_based")
-    return shape.select(*SHEET, strategy.alias("strategy"), F.when(strategy == "group_by_column", F.col("head")).alias("group_by_column"))
+    return shape.select(*SHEET, _strategy().alias("strategy"), F.when(_strategy() == "group_by_column", F.col("head")).alias("group_by_column"))
 
 
 def forward_fill(rows: DataFrame) -> DataFrame:
@@ -84,23 +88,32 @@ def header_only_chunks(rows: DataFrame) -> DataFrame:
     return only.withColumn("long", long).where(F.size("long") > 0).select(*SHEET, F.lit(0).alias("chunk_index"), F.concat(F.lit("["), "sheet_name", F.lit("]\n"), F.array_join("long", "\n")).alias("content"))
 
 
-def chunk_sheets(rows: DataFrame, detected: DataFrame | None = None) -> DataFrame:
-    """Chunks ``(doc_id, sheet_name, chunk_index, content, strategy)`` of all sheets by their strategies; groups without rows fall back to rows."""
-    detected = detect_sheets(rows) if detected is None else detected
-    given = rows.join(detected.select(*SHEET, "strategy"), list(SHEET))
-    of = lambda s: given.where(F.col("strategy") == s).select(*SHEET, "row_index", "cells")
-    more_rows = given.groupBy(*SHEET).agg(F.max("row_index").alias("last")).where("last > 0").select(*SHEET)
-    parts = [
-        (single_chunks(of("single_chunk")), "single_chunk"),
-        (group_chunks(forward_fill(of("group_by_column"))), "group_by_column"),
-        (row_chunks(of("row_based")), "row_based"),
-        (header_only_chunks(rows.join(more_rows, list(SHEET), "left_anti")), "single_chunk"),
-    ]
-    out = None
-    for part, strategy in parts:
-        part = part.select(*SHEET, "chunk_index", "content", F.lit(strategy).alias("strategy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def chunk_sheets(rows: DataFrame) -> DataFrame:
+    """Chunks ``(doc_id, sheet_name, chunk_index, content, strategy)`` of all sheets by their detected strategies.
+
+    Everything is done within one partitioning by sheet: headers, the shape
+    that decides, group values filled downwards, and the numbers.  A row's
+    chunk has a key: its own number, its group, or none for a sheet's only one.
+    """
+    sheet = Window.partitionBy(*SHEET)
+    down = sheet.orderBy("row_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first, filled, data = F.col("cells")[0], _filled(), F.col("row_index") > 0
+    seen = rows.withColumns({"filled": filled, "head_row": F.min(F.when(filled, F.col("row_index"))).over(sheet), "headers": F.max(F.when(~data, F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))).over(sheet)})
+    seen = seen.withColumn("value", F.when(F.col("filled") & (F.col("row_index") > F.col("head_row")), first))
+    seen = seen.withColumns({"nth": F.dense_rank().over(sheet.orderBy(F.col("value").asc_nulls_last())), "group": F.last(F.when(data & (ustrip(first) != ""), first), ignorenulls=True).over(down)})
+    shape = {
+        "n": F.sum(F.col("filled").cast("int")).over(sheet), "total": F.count("value").over(sheet), "uniques": F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("nth"))).over(sheet), F.lit(0)),
+        "head": F.max(F.when(F.col("row_index") == F.col("head_row"), first)).over(sheet), "last": F.max("row_index").over(sheet),
+    }
+    seen = seen.withColumns(shape).withColumn("strategy", _strategy())
+    single, grouped = F.col("strategy") == "single_chunk", F.col("strategy") == "group_by_column"
+    seen = seen.withColumns({"line": F.when(single, plain()).otherwise(labelled("headers", "cells")), "key": F.when(single, "").when(grouped, F.col("group")).otherwise(F.col("row_index").cast("string"))})
+    kept = seen.where(data & F.when(single, True).when(grouped, F.col("group").isNotNull()).otherwise(F.col("line") != ""))
+    chunks = kept.groupBy(*SHEET, "strategy", "key").agg(F.min("row_index").alias("at"), F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("row_index", "line")))).alias("ls"))
+    body = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
+    label = F.when(F.col("strategy") == "group_by_column", F.concat(F.lit(" "), "key", F.lit("\n"))).when(body != "", F.lit("\n")).otherwise(F.lit(""))
+    out = _numbered(chunks, "at").select(*SHEET, "chunk_index", F.concat(F.lit("["), "sheet_name", F.lit("]"), label, body).alias("content"), "strategy")
+    return out.unionByName(header_only_chunks(rows).withColumn("strategy", F.lit("single_chunk")))
 
 
 def row_hashes(rows: DataFrame) -> DataFrame:

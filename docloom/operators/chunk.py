@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import elements as E
@@ -10,24 +10,33 @@ from docloom.functions.packing import recursive_chunks
 from docloom.functions.text import word_count
 
 
+def numbered(df: DataFrame, array: Column | str, *keys: Column | str, name: str = "c", index: str = "chunk_index") -> DataFrame:
+    """Rows of an array with their index.
+
+    The outer form, as for the other one Spark infers a filter on the array's
+    size, which would compute the whole array once more.
+    """
+    return df.select(*keys, F.posexplode_outer(array).alias(index, name)).where(F.col(index).isNotNull())
+
+
 def explode_chunks(df: DataFrame, chunks: str, *keys: str) -> DataFrame:
     """Rows of an array of chunk structs with their ``chunk_index``."""
-    return df.select(*keys, F.posexplode(chunks).alias("chunk_index", "c")).select(*keys, "chunk_index", "c.*")
+    return numbered(df, chunks, *keys).select(*keys, "chunk_index", "c.*")
 
 
 def chunk_texts(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Parse, detect and chunk plain texts by the detected strategy: ``(key, chunk_index, content, strategy, token_count)``.
 
-    Only texts without structure go to the Arrow function that splits recursively.
+    One pass over the texts; only those without structure have anything for the Arrow function that splits recursively.
     """
     parsed = documents.select(key, F.expr(E.parse_text(text)).alias("els")).withColumn("found", F.expr(E.detect_text("els")))
     strategy = F.col("found.strategy")
     content = lambda e: F.transform(F.expr(e), lambda c: c["content"])
-    native = parsed.where(strategy != "recursive_fallback").withColumn("cs", F.when(strategy == "heading_based", content(E.heading_chunks("els"))).otherwise(content(E.blank_line_chunks("els"))))
     joined = F.array_join(F.expr("transform(filter(els, e -> e.type <> 'blank' and e.content <> ''), e -> e.content)"), "\n\n")
-    rest = parsed.where(strategy == "recursive_fallback").withColumn("joined", joined)
-    explode = lambda df, c: df.select(key, strategy.alias("strategy"), F.posexplode(c).alias("chunk_index", "content"))
-    rows = explode(native, F.col("cs")).unionByName(explode(rest, recursive_chunks("joined")))
+    native = F.when(strategy == "heading_based", content(E.heading_chunks("els"))).when(strategy == "blank_line_based", content(E.blank_line_chunks("els")))
+    split = parsed.select(key, strategy.alias("strategy"), native.alias("native"), F.when(strategy == "recursive_fallback", joined).alias("joined"))
+    split = split.withColumn("parts", recursive_chunks("joined"))
+    rows = numbered(split, F.coalesce("native", "parts"), key, "strategy", name="content")
     return rows.select(key, "chunk_index", "content", "strategy", word_count("content").alias("token_count"))
 
 

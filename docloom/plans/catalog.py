@@ -43,7 +43,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query(f"WITH {R.ELEMENTS_SQL} SELECT doc_id, pos, type AS element_type, content, level::BIGINT AS level FROM el")
 def parse_text_lines(spark, sf_dir):
-    parsed = R.marked(R.table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(F.expr(E.parse_text("text"))).alias("pos", "e"))
+    parsed = R.marked(R.table(spark, sf_dir, "documents"))
+    parsed = chunk.numbered(parsed, F.expr(E.parse_text("text")), "doc_id", name="e", index="pos")
     return parsed.select("doc_id", (F.col("pos") + 1).alias("pos"), F.col("e.type").alias("element_type"), "e.content", "e.level")
 
 
@@ -156,23 +157,23 @@ SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, unnest(cs) AS cont
 
 @query(_recursive_sql("text"))
 def chunk_recursive(spark, sf_dir):
-    return R.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(recursive_chunks("text")).alias("chunk_index", "content"))
+    return chunk.numbered(R.table(spark, sf_dir, "documents"), recursive_chunks("text"), "doc_id", name="content")
 
 
 @query(_recursive_sql("replace(text, chr(10), chr(10) || chr(10))"))
 def chunk_recursive_paragraphs(spark, sf_dir):
     docs = R.table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    return docs.select("doc_id", F.posexplode(recursive_chunks("text")).alias("chunk_index", "content"))
+    return chunk.numbered(docs, recursive_chunks("text"), "doc_id", name="content")
 
 
 @query(f"WITH c AS (SELECT doc_id, {_SENT_SQL.replace('{p}', 'text')} AS cs FROM documents) SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, unnest(cs) AS content FROM c")
 def pack_sentences(spark, sf_dir):
-    return R.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(sentence_chunks("text")).alias("chunk_index", "content"))
+    return chunk.numbered(R.table(spark, sf_dir, "documents"), sentence_chunks("text"), "doc_id", name="content")
 
 
 @query(f"WITH c AS (SELECT doc_id, {_WORDS_SQL.replace('{p}', 'text')} AS cs FROM documents) SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, unnest(cs) AS content FROM c")
 def pack_words(spark, sf_dir):
-    return R.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(word_chunks("text")).alias("chunk_index", "content"))
+    return chunk.numbered(R.table(spark, sf_dir, "documents"), word_chunks("text"), "doc_id", name="content")
 
 
 @query("SELECT conv_id AS doc_id, turn AS chunk_index, turn + 1 AS slide_number, CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS content FROM conversations")
@@ -229,7 +230,7 @@ c AS (SELECT *, CASE WHEN length(p || body) <= 500 THEN [regexp_replace(p || bod
 SELECT thread_id, generate_subscripts(cs, 1) - 1 AS chunk_index, unnest(cs) AS content FROM c""")
 def chunk_email_threads(spark, sf_dir):
     out = threads.assemble(R.messages(R.table(spark, sf_dir, "conversations")))
-    return out.select("thread_id", F.posexplode(mail.email_chunks("body", "sender", "subject", "date")).alias("chunk_index", "content"))
+    return chunk.numbered(out, mail.email_chunks("body", "sender", "subject", "date"), "thread_id", name="content")
 
 
 @query(f"WITH {R.MESSAGES_SQL} SELECT thread_id, labels FROM lab")
