@@ -59,3 +59,11 @@ def seed_people(sender: Column | str, recipients: Column | str, names: list[str]
 def first_seen(arrays: Column) -> Column:
     """Distinct values over an array of arrays, in the order of first appearance."""
     return F.array_distinct(F.flatten(arrays))
+
+
+def base_metadata(*layers: Column | str) -> Column:
+    """Maps merged into one, later layers winning over earlier ones; null layers count as empty."""
+    none = F.create_map().cast("map<string,string>")
+    pairs = F.concat(*(F.map_entries(F.coalesce(F.col(m) if isinstance(m, str) else m, none)) for m in reversed(layers)))
+    keys = F.transform(pairs, lambda e: e["key"])
+    return F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(keys, e["key"]) == i + 1))

@@ -92,3 +92,12 @@ def run_summary(log: DataFrame) -> DataFrame:
         F.count_if(skipped).alias("skipped"), F.count_if(~F.coalesce(success | skipped | F.col("status").isin("metadata_updated", "deleted"), F.lit(False))).alias("errors"),
         F.coalesce(F.sum(F.when(success, F.col("chunks_stored"))), F.lit(0)).cast("long").alias("chunks"),
     )
+
+
+def delete_results(asked: DataFrame, stored: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(source_id, status, chunks_deleted)`` of each asked deletion: deleted, or not_found."""
+    counts = chunks.groupBy("source_id").agg(F.count("*").alias("n"))
+    known = stored.select("source_id").distinct().withColumn("__there", F.lit(True))
+    joined = asked.select("source_id").distinct().join(known, "source_id", "left").join(counts, "source_id", "left")
+    there = F.coalesce("__there", F.lit(False))
+    return joined.select("source_id", F.when(there, "deleted").otherwise("not_found").alias("status"), F.when(there, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("chunks_deleted"))

@@ -517,6 +517,27 @@ def corpus_statistics(spark, sf_dir):
     n = F.length("text")
     return R.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(n).alias("n_chars"), F.max(n).alias("longest"), F.min(n).alias("shortest"))
 
+@query(f"WITH {_SYNC_SQL} SELECT 's' || d.doc_id AS source_id, CASE WHEN s.source_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status, CASE WHEN s.source_id IS NULL THEN 0 ELSE d.n_chars % 4 END AS chunks_deleted FROM documents d LEFT JOIN sto s ON s.source_id = 's' || d.doc_id WHERE d.doc_id % 5 = 0")
+def delete_results(spark, sf_dir):
+    docs = R.table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_id"), "doc_id", "n_chars")
+    chunks = docs.where("n_chars % 4 > 0").select("source_id", F.expr("explode(sequence(1, cast(n_chars % 4 as int)))").alias("k"))
+    return sync.delete_results(docs.where("doc_id % 5 = 0"), _stored(spark, sf_dir), chunks)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'extra' ELSE lang END AS lang, source, CASE WHEN doc_id % 2 = 0 THEN '1' END AS added FROM documents")
+def merge_metadata(spark, sf_dir):
+    base = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"))
+    extra = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("lang"), F.lit("extra"), F.lit("added"), F.lit("1")))
+    merged = R.table(spark, sf_dir, "documents").select("doc_id", enrich.base_metadata(base, extra).alias("m"))
+    return merged.select("doc_id", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("lang", "source", "added")))
+
+
+@query("SELECT DISTINCT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Ann,Bob' WHEN 1 THEN 'Bob' ELSE '' END AS people FROM customer")
+def filter_people(spark, sf_dir):
+    k = F.col("c_custkey") % 3
+    names = F.when(k == 0, F.array(F.lit("ANN"), F.lit("carl"), F.lit("bob"), F.lit("Ann"))).when(k == 1, F.array(F.lit("bob"))).otherwise(F.array(F.lit("Dora")))
+    return R.table(spark, sf_dir, "customer").select("c_custkey", F.array_join(T.filter_people(names, ["Ann", "bob"]), ",").alias("people"))
+
 
 # Verification
 
@@ -702,3 +723,34 @@ def embed_documents(spark, sf_dir):
 def chunk_questions(spark, sf_dir):
     chunks = _ticketed(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "content", F.lit("Summary").alias("section_heading"), T.ticket_ids("content").alias("ticket_ids"))
     return question_rows(chunks, HashedWords())
+
+
+# More structured text
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'excel' WHEN 1 THEN 'word' WHEN 2 THEN 'txt' END AS hint FROM part")
+def format_hints(spark, sf_dir):
+    k = F.col("p_partkey") % 4
+    text = F.concat(F.col("p_name"), F.when(k == 0, " as an Excel workbook").when(k == 1, " (.docx)").when(k == 2, " Plain text").otherwise(" excellent wordy"))
+    return R.table(spark, sf_dir, "part").select("p_partkey", markup.format_hint(text).alias("hint"))
+
+
+@query(f"SELECT doc_id, k::BIGINT AS block, '## THREAD — ' || k || chr(10) || regexp_replace(left(text, 40), {_STRIP}) AS content FROM documents, (SELECT unnest([0, 1]) AS k)")
+def email_thread_blocks(spark, sf_dir):
+    body = F.concat(*(F.concat(F.lit(f"\n## THREAD — {k}\n"), F.left("text", F.lit(40)), F.lit(" \n")) for k in range(2)))
+    docs = R.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("intro"), body).alias("text"))
+    return chunk.numbered(docs, markup.email_thread_blocks("text"), "doc_id", index="block", name="content")
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 >= 2 AND o_orderkey % 2 = 1 AS narrative, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 5 ELSE 3 END::BIGINT AS least_comments FROM orders")
+def narrative_bullets(spark, sf_dir):
+    k = F.col("o_orderkey")
+    bullet = F.concat(F.lit("Work went on"), F.when(k % 4 >= 2, ". All is done").otherwise(""), F.when(k % 2 == 1, " in TECH-1.").otherwise("."))
+    return R.table(spark, sf_dir, "orders").select("o_orderkey", markup.is_narrative(bullet).alias("narrative"), markup.required_comments(k % 3).alias("least_comments"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, 'users' AS name, 'id, name' AS columns, 0::BIGINT AS pos FROM nation UNION ALL SELECT n_nationkey::BIGINT, 'logs', lower(n_name), 1 FROM nation")
+def schema_blocks(spark, sf_dir):
+    text = F.concat(F.lit("Intro\nusers:\n  - id\n  - name\n\ntext: none\nlogs:\n  • "), F.lower("n_name"), F.lit("\nusers:\n  - other\n"))
+    rows = chunk.numbered(R.table(spark, sf_dir, "nation"), markup.schema_rows(text), "n_nationkey", index="pos", name="r")
+    return rows.select("n_nationkey", "r.name", "r.columns", "pos")
