@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import new_path, path_exists, small_batches, table
+from docloom.llm.common import materialize, new_path, path_exists, small_batches, table
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 #: Texts given to the tokenizer in one call.
@@ -79,7 +79,8 @@ def token_counts(documents: DataFrame, model_path: str, cache_path: str, limit:
     distinct = texts.select("content_digest", "text").dropDuplicates(["content_digest"])
     misses = distinct.join(stored(), "content_digest", "left_anti") if path_exists(spark, cache_path) else distinct
     misses.mapInArrow(_encode(model_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # a table of its own, so that Spark can split a digest that very many rows have
+    counts = materialize(stored().groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     keys = texts.select(F.col(id_col), "content_digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return keys.join(counts, "content_digest", "left").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content_digest")
 
