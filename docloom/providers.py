@@ -96,6 +96,51 @@ def extract_metadata(provider: Callable[[str], str], c: Column | str) -> Column:
     return run(c)
 
 
+def render_sheet(rows: list[list[str | None]]) -> str:
+    """A sheet as a provider reads it: one line for each row, blank cells empty."""
+    return "\n".join(f"Row {k}: " + " | ".join(c or "" for c in row) for k, row in enumerate(rows))
+
+
+def parse_classification(answer: str) -> tuple[str, dict[int, str]]:
+    """Strategy and row groups of a JSON answer, fenced or not; what is not understood is row_based."""
+    try:
+        found = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", answer.strip()))
+        strategy = found["strategy"]
+        groups = {int(k): str(v) for k, v in (found.get("row_groups") or {}).items() if v is not None}
+    except (json.JSONDecodeError, KeyError, TypeError, ValueError, AttributeError):
+        return "row_based", {}
+    if strategy not in ("single_chunk", "row_based", "group_by_column") or strategy == "group_by_column" and not groups:
+        return "row_based", {}
+    return strategy, groups if strategy == "group_by_column" else {}
+
+
+def classify_sheets(provider: Callable[[str, str], str], rows: DataFrame) -> DataFrame:
+    """``(doc_id, sheet_name, strategy, row_groups map<int, string>)`` by a provider that is given each sheet's name and rendered rows.
+
+    The local default needs no provider: :func:`docloom.functions.sheets.detect_sheets` and ``forward_fill``.
+    """
+    types = dict(rows.dtypes)
+    whole = rows.groupBy("doc_id", "sheet_name").agg(F.array_sort(F.collect_list(F.struct("row_index", "cells"))).alias("rs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, rs in zip(batch["sheet_name"], batch["rs"], strict=True):
+                try:
+                    out.append(parse_classification(provider(name, render_sheet([list(r["cells"]) for r in rs]))))
+                except Exception:
+                    out.append(("row_based", {}))
+            yield batch[["doc_id", "sheet_name"]].assign(strategy=[s for s, _ in out], row_groups=[g for _, g in out])
+
+    return whole.mapInPandas(run, f"doc_id {types['doc_id']}, sheet_name string, strategy string, row_groups map<int, string>")
+
+
+def with_row_groups(rows: DataFrame, classified: DataFrame) -> DataFrame:
+    """Add ``group_value`` from a provider's row groups, for ``group_chunks``; rows without one stay null and have no chunk."""
+    joined = rows.join(classified.select("doc_id", "sheet_name", "row_groups"), ["doc_id", "sheet_name"])
+    return joined.withColumn("group_value", F.try_element_at("row_groups", F.col("row_index").cast("int"))).drop("row_groups")
+
+
 def template_questions(content: Column | str, heading: Column | str, tickets: Column | str) -> Column:
     """Questions from a chunk's heading and tickets: the local default."""
     head = F.when(F.coalesce(F.trim(heading), F.lit("")) != "", F.array(F.concat(F.lit("What does the section "), heading, F.lit(" say?")))).otherwise(F.array().cast("array<string>"))

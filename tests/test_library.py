@@ -13,7 +13,7 @@ from docloom.functions import enrich, mail, markup, packing, sheets
 from docloom.functions import text as T
 from docloom.operators import chunk, retrieve, sync, threads
 from docloom.plans.ingest import ingest_texts, mail_chunks
-from docloom.providers import HashedWords, embed_texts, embedding, extract_metadata, parse_json_keys, question_rows
+from docloom.providers import HashedWords, classify_sheets, embed_texts, embedding, extract_metadata, parse_classification, parse_json_keys, question_rows, with_row_groups
 from docloom.sources import office
 from docloom.store import Store
 from docloom.streaming.sync import chunk_counts, read_events, sync_stream
@@ -244,6 +244,16 @@ def test_providers(spark):
     assert len(df.select(embedding(HashedWords(16), "content").alias("e")).first()["e"]) == 16
 
 
+def test_sheet_classifier(spark):
+    rows = sheet(spark, "OKR", [["Objective", "KR"], ["Ship", "a"], [None, "b"], ["", "c"]])
+    answers = {"OKR": '```json\n{"strategy": "group_by_column", "row_groups": {"1": "Ship", "2": "Ship"}}\n```'}
+    found = classify_sheets(lambda name, text: answers[name] if text.startswith("Row 0: Objective | KR\nRow 1: Ship | a\nRow 2:  | b") else "?", rows)
+    assert found.first()["strategy"] == "group_by_column"
+    assert [r["content"] for r in sheets.group_chunks(with_row_groups(rows, found)).collect()] == ["[OKR] Ship\nObjective: Ship | KR: a\nKR: b"]
+    assert [parse_classification(a)[0] for a in ("no json", '{"strategy": "group_by_column"}', '{"strategy": "single_chunk"}', "[]")] == ["row_based", "row_based", "single_chunk", "row_based"]
+    assert classify_sheets(lambda name, text: 1 / 0, rows).first()["strategy"] == "row_based"
+
+
 def test_threads_and_retrieval(spark):
     rows = [(1, 0, "A <a+ann@x>", ["team+bob@x"], "S", "2025", "hi TECH-1", ["l"]), (1, 1, "B", [], "S2", "2026", " ", ["m", "l"])]
     df = spark.createDataFrame(rows, "thread_id long, pos long, sender string, recipients array<string>, subject string, date string, body string, labels array<string>")
