@@ -188,7 +188,18 @@ def strategy_counts(spark, sf_dir):
     return detect_text_strategy(spark, sf_dir).groupBy("strategy").agg(F.count("*").alias("n_documents"))
 
 
-@query()
+_ROUTED = R.ELEMENTS_SQL.replace("END), chr(10)) AS text FROM documents)", "END), chr(10)) AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 2 = 1)")
+_BLANK_LINES = f"""s AS (SELECT *, sum(CASE WHEN type IN ('blank', 'table') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sid FROM el),
+g AS (SELECT doc_id, sid, regexp_replace(string_agg(content, chr(10) ORDER BY pos) FILTER (type <> 'blank' AND content <> ''), {_STRIP}) AS content FROM s GROUP BY doc_id, sid)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sid) - 1 AS chunk_index, content FROM g WHERE content <> ''"""
+
+
+@query(f"""WITH {_ROUTED}, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (type = 'heading') AS h, count(*) FILTER (type = 'blank') AS b FROM el GROUP BY doc_id), k AS (SELECT doc_id, {_DETECT} FROM c),
+hd AS (WITH {R.sections_sql('heading')}), bl AS (WITH {_BLANK_LINES}), rj AS (SELECT doc_id, string_agg(content, chr(10) || chr(10) ORDER BY pos) AS t FROM el WHERE type <> 'blank' AND content <> '' GROUP BY doc_id),
+rc AS (SELECT doc_id, CASE WHEN length(t) <= 1000 THEN [t] ELSE {_PARA_SQL.replace("{p}", "t")} END AS cs FROM rj), ru AS (SELECT doc_id, generate_subscripts(cs, 1) - 1 AS chunk_index, unnest(cs) AS content FROM rc),
+al AS (SELECT doc_id, chunk_index, content, strategy FROM hd JOIN k USING (doc_id) WHERE strategy = 'heading_based' UNION ALL SELECT doc_id, chunk_index, content, strategy FROM bl JOIN k USING (doc_id) WHERE strategy = 'blank_line_based'
+  UNION ALL SELECT doc_id, chunk_index, content, strategy FROM ru JOIN k USING (doc_id) WHERE strategy = 'recursive_fallback')
+SELECT doc_id, chunk_index, content, strategy, len(regexp_split_to_array(trim(content, ' ' || chr(10)), '\\s+')) AS token_count FROM al""")
 def chunk_router(spark, sf_dir):
     """Marked texts of even ids and raw ones of odd ids, each chunked by its own strategy."""
     docs = R.table(spark, sf_dir, "documents")
