@@ -485,7 +485,7 @@ _TICKETED = "tk AS (SELECT doc_id, 'See TECH-' || doc_id || ', sprint-8 and tech
 
 def _ticketed(spark, sf_dir):
     d = F.col("doc_id").cast("string")
-    return R.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("See TECH-"), d, F.lit(", sprint-8 and tech-"), d, F.lit("; v2-plan-001 (OPS-7) x_OPS-9 "), F.left("text", F.lit(50))).alias("content"))
+    return R.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("See TECH-"), d, F.lit(", sprint-8 and tech-"), d, F.lit("; v2-plan-001 (OPS-7) x_OPS-9 "), "text").alias("content"))
 
 
 @query(f"WITH {_TICKETED} SELECT doc_id, 'TECH-' || doc_id || ',SPRINT-8,V2-PLAN-001,OPS-7' AS tickets FROM tk")
@@ -681,7 +681,7 @@ _BLOCKS_SQL = "SELECT doc_id, 'intro' || chr(10) || '### Ticket 1: TECH-' || doc
 
 def _blocks(spark, sf_dir):
     d = F.col("doc_id").cast("string")
-    text = F.concat(F.lit("intro\n### Ticket 1: TECH-"), d, F.lit("\nTier: "), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("\n"), F.left("text", F.lit(80)), F.lit("\n## TICKET 2\nOPS-"), (F.col("doc_id") % 50).cast("string"), F.lit("\n- end"))
+    text = F.concat(F.lit("intro\n### Ticket 1: TECH-"), d, F.lit("\nTier: "), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("\n"), "text", F.lit("\n## TICKET 2\nOPS-"), (F.col("doc_id") % 50).cast("string"), F.lit("\n- end"))
     return R.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
@@ -748,7 +748,7 @@ def format_hints(spark, sf_dir):
 
 @query(f"SELECT doc_id, k::BIGINT AS block, '## THREAD — ' || k || chr(10) || regexp_replace(left(text, 40), {_STRIP}) AS content FROM documents, (SELECT unnest([0, 1]) AS k)")
 def email_thread_blocks(spark, sf_dir):
-    body = F.concat(*(F.concat(F.lit(f"\n## THREAD — {k}\n"), F.left("text", F.lit(40)), F.lit(" \n")) for k in range(2)))
+    body = F.concat(*(F.concat(F.lit(f"\n## THREAD — {k}\n"), "text", F.lit(" \n")) for k in range(2)))
     docs = R.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("intro"), body).alias("text"))
     return chunk.numbered(docs, markup.email_thread_blocks("text"), "doc_id", index="block", name="content")
 
