@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries that go to the tasks at once, rows that are compared with them at once, and pairs that are scored exactly at once.
+BLOCK, SLICE, SCORED = 1024, 2048, 16384
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product in double precision, summed in the order of the components."""
@@ -25,14 +32,48 @@ def top_k(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id"
     return given.select(id_col, cosine(F.col(vector_col), literal).alias("similarity")).where("similarity is not null").orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def _candidates(ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, k: int, margin: float, id_col: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For a block of queries: rows ``(query_id, id, __s)`` that may be among the ``k`` nearest, with each task's best so far as the bound."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full((len(ids), k), -np.inf)
+        for batch in batches:
+            batch = batch[batch["__v"].map(len) == vectors.shape[1]]
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                own, v, n = part[id_col].to_numpy(), np.array(part["__v"].tolist(), dtype="float64"), part["__n"].to_numpy()
+                near = vectors @ v.T / (norms[:, None] * n)
+                near[ids[:, None] == own] = -np.inf
+                top = np.concatenate([best, near], axis=1)
+                best = np.partition(top, -k, axis=1)[:, -k:]
+                q, r = np.nonzero((near > -np.inf) & (near >= best.min(axis=1, keepdims=True) - margin))
+                for i in range(0, len(q), SCORED):
+                    x, y = q[i : i + SCORED], r[i : i + SCORED]
+                    # cumsum adds in the order of the components, as dot() does
+                    yield pd.DataFrame({"query_id": ids[x], id_col: own[y], "__s": np.cumsum(vectors[x] * v[y], axis=1)[:, -1] / (n[y] * norms[x])})
+
+    return run
+
+
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """The ``k`` nearest rows to each of a stated set of queries ``(query_id, query)``, which must fit a broadcast.
+    """The ``k`` nearest rows to each of a stated set of queries ``(query_id, query)``, by comparing every row with every query.
 
-    Scores are rounded before ranking, so that ties go by id.
+    Queries are gathered on the driver and go to the tasks in blocks of ``BLOCK``, each with a scan of its own, so that a task's memory
+    does not grow with their number.  Scores are rounded before ranking, so that ties go by id.  Null ids, and vectors that are null,
+    zero, not finite or of another length than the query, are nobody's neighbours.
     """
-    with_norm = vectors.select(id_col, F.col(vector_col).alias("__v"), F.sqrt(dot(vector_col, vector_col)).alias("__n")).where("__n > 0")
-    asked = queries.select("query_id", "query", F.sqrt(dot("query", "query")).alias("__q")).where("__q > 0")
-    scored = with_norm.join(F.broadcast(asked), with_norm[id_col] != asked["query_id"]).select("query_id", id_col, F.round(dot("__v", "query") / (F.col("__n") * F.col("__q")), digits).alias("similarity"))
+    finite = "{0} > 0 and {0} < double('infinity') and {1} is not null"
+    with_norm = vectors.select(id_col, F.col(vector_col).alias("__v"), F.sqrt(dot(vector_col, vector_col)).alias("__n")).where(finite.format("__n", f"`{id_col}`"))
+    asked = queries.select("query_id", "query", F.sqrt(dot("query", "query")).alias("__q")).where(finite.format("__q", "query_id")).toPandas()
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[id_col]
+    schema = f"query_id {kinds[0]}, `{id_col}` {kinds[1]}, __s double"
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for _, same in asked.groupby(asked["query"].map(len)):
+        for at in range(0, len(same), BLOCK):
+            block = same.iloc[at : at + BLOCK]
+            run = _candidates(block["query_id"].to_numpy(), np.array(block["query"].tolist(), dtype="float64"), block["__q"].to_numpy(), k, 2 * 10.0**-digits, id_col)
+            found = found.unionAll(with_norm.mapInPandas(run, schema))
+    scored = found.select("query_id", id_col, F.round("__s", digits).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", id_col, "similarity")
 

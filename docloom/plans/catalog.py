@@ -639,7 +639,7 @@ def filtered_topk(spark, sf_dir):
 @query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({_cos('e.embedding', 'q.embedding')}, 6) AS similarity FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id < 20) q ON e.vec_id <> q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, rank, vec_id, similarity FROM r WHERE rank <= 10")
 def topk_per_query(spark, sf_dir):
     vectors = R.table(spark, sf_dir, "embeddings")
-    return retrieve.top_k_each(vectors, vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10)
+    return retrieve.top_k_each(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10)
 
 
 @query(f"SELECT vec_id // 4 AS chunk_id, round(max({_cos('embedding', str(_QUESTION))}), 6) AS similarity FROM embeddings GROUP BY 1")

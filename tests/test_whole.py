@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
+from docloom.operators import retrieve
 from docloom.plans.catalog import QUERIES
 
 LONG = "word " * 30 + "late TECH-99 and OPS-42, XY-7 \nlast line"
@@ -29,3 +31,18 @@ def test_blocks_and_sections_are_whole(spark, one_document):
     assert QUERIES["section_between_markers"](spark, one_document).first()["section"] == first
     threads = [r["content"] for r in QUERIES["email_thread_blocks"](spark, one_document).orderBy("block").collect()]
     assert threads == [f"## THREAD — {k}\n{LONG}" for k in range(2)]
+
+
+def test_every_stated_query_is_searched(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK", 3)
+    monkeypatch.setattr(retrieve, "SLICE", 7)
+    vectors = np.random.default_rng(1).integers(-3, 4, (130, 4)).astype(float)
+    vectors[[7, 40]], vectors[50:65] = 0, vectors[20]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    spark.createDataFrame([*rows, (200, None), (220, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    expected = []
+    for q in range(0, 130, 20):
+        sims = [(i, round(float(v @ vectors[q] / (np.linalg.norm(v) * np.linalg.norm(vectors[q]))), 6)) for i, v in enumerate(vectors) if i != q and v.any() and vectors[q].any()]
+        expected += [(q, n + 1, i, s) for n, (i, s) in enumerate(sorted(sims, key=lambda x: (-x[1], x[0]))[:10])]
+    got = [tuple(r) for r in QUERIES["topk_per_query"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    assert [r[:3] for r in got] == [r[:3] for r in expected] and [r[3] for r in got] == pytest.approx([r[3] for r in expected], abs=2e-6)
