@@ -144,7 +144,7 @@ def format_chat(records: DataFrame, record_col: str) -> DataFrame:
     Columns named like the added ones are replaced.
     """
     kept = [c for c in records.columns if c not in ("fingerprint", "mapping", "formatted", "loss_spans")]
-    df = records.withColumn("__r", F.from_json(F.col(record_col), SCHEMA)).withColumn("fingerprint", fingerprint("__r"))
+    df = records.withColumn("__r", F.from_json(F.col(record_col), SCHEMA, {"maxStringLen": "2147483647"})).withColumn("fingerprint", fingerprint("__r"))
     known = F.create_map(*(F.lit(x) for pair in fingerprints().items() for x in pair))
     df = df.withColumn("mapping", F.try_element_at(known, F.col("fingerprint")))
     turns = F.array().cast("array<struct<role:string,text:string>>")
