@@ -44,9 +44,9 @@ class Mapping:
 
 _SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "chatgpt": "assistant"}
 MAPPINGS = (
-    Mapping("messages", turns=("messages", "role", "content")),
+    Mapping("messages", turns=("messages", "role", "content"), optional=("system",)),
     Mapping("from_value", turns=("conversations", "from", "value"), optional=("system",), roles=_SPEAKERS),
-    Mapping("speaker_text", turns=("dialogue", "speaker", "text"), roles=_SPEAKERS),
+    Mapping("speaker_text", turns=("dialogue", "speaker", "text"), optional=("system",), roles=_SPEAKERS),
     Mapping("instruction", pairs=(("system", "system"), ("user", "instruction"), ("assistant", "output")), optional=("system", "input"), joined={"instruction": "input"}),
     Mapping("prompt_completion", pairs=(("system", "system"), ("user", "prompt"), ("assistant", "completion")), optional=("system",)),
     Mapping("prompt_response", pairs=(("system", "system"), ("user", "prompt"), ("assistant", "response")), optional=("system",)),
@@ -78,15 +78,26 @@ def fingerprints() -> dict[str, str]:
     return found
 
 
-def fingerprint(parsed: str) -> Column:
-    """Hash of the field paths that the parsed record holds with a value."""
+def _held(parsed: str) -> Column:
+    """The field paths that the parsed record holds with a value."""
 
     def within(array: str, name: str) -> Column:
         return F.when(F.exists(F.col(f"{parsed}.{array}"), lambda m: m[name].isNotNull()), F.lit(f"{array}[].{name}"))
 
     here = [F.when(F.col(f"{parsed}.{p}").isNotNull(), F.lit(p)) for p in PLAIN]
     here += [within(a, f) for a, fields in ARRAYS.items() for f in fields]
-    return F.sha2(F.array_join(F.array_sort(F.array_compact(F.array(*here))), "\n"), 256)
+    return F.array_sort(F.array_compact(F.array(*here)))
+
+
+def fingerprint(parsed: str) -> Column:
+    """Hash of the field paths that the parsed record holds with a value."""
+    return F.sha2(F.array_join(_held(parsed), "\n"), 256)
+
+
+def _first_fit(parsed: str) -> Column:
+    """The first mapping whose required paths the record holds, for records that also hold another layout's fields."""
+    held = _held(parsed)
+    return F.coalesce(*(F.when(F.size(F.array_except(F.array(*map(F.lit, m.required())), held)) == 0, F.lit(m.name)) for m in MAPPINGS))
 
 
 def _turns(m: Mapping, parsed: str) -> Column:
@@ -138,6 +149,8 @@ def format_chat(records: DataFrame, record_col: str) -> DataFrame:
     a mark; a line feed in a role is ``<\\n>``.  ``loss_spans`` are the
     ``(start, end)`` code points of the assistant's texts in ``formatted``.
 
+    A record whose fingerprint is of no mapping goes to the first one whose
+    required paths it holds; the other layouts' fields have no effect.
     A record that is null, no JSON, or of unknown paths has mapping null, an
     empty text and no spans.  Null texts and roles count as empty; fields that
     no mapping names have no effect.  Repeated records are each formatted.
@@ -146,7 +159,7 @@ def format_chat(records: DataFrame, record_col: str) -> DataFrame:
     kept = [c for c in records.columns if c not in ("fingerprint", "mapping", "formatted", "loss_spans")]
     df = records.withColumn("__r", F.from_json(F.col(record_col), SCHEMA, {"maxStringLen": "2147483647"})).withColumn("fingerprint", fingerprint("__r"))
     known = F.create_map(*(F.lit(x) for pair in fingerprints().items() for x in pair))
-    df = df.withColumn("mapping", F.try_element_at(known, F.col("fingerprint")))
+    df = df.withColumn("mapping", F.coalesce(F.try_element_at(known, F.col("fingerprint")), _first_fit("__r")))
     turns = F.array().cast("array<struct<role:string,text:string>>")
     for m in MAPPINGS:
         turns = F.when(F.col("mapping") == m.name, _turns(m, "__r")).otherwise(turns)

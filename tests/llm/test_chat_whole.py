@@ -1,4 +1,4 @@
-"""Chat records that are very long."""
+"""Chat records that are very long, or hold fields of more than one layout."""
 
 from __future__ import annotations
 
@@ -13,3 +13,18 @@ def test_very_long_turn_keeps_its_conversation(spark, tmp_path):
     texts.write.parquet(f"{tmp_path}/conversations.parquet")
     got = chat.op3_chat(spark, str(tmp_path)).where("conv_id = 1").first()
     assert (got["mapping"], got["n_turns"], got["loss_chars"]) == ("messages", 3, 21_000_000)
+
+
+def test_records_of_mixed_layouts(spark):
+    turns = '"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]'
+    spoken = '"dialogue": [{"speaker": "human", "text": "q"}, {"speaker": "bot", "text": "a"}]'
+    plain, led = [("user", "q"), ("assistant", "a")], [("system", "s"), ("user", "q"), ("assistant", "a")]
+    records = [
+        (f'{{"prompt": "p", {turns}}}', "messages", plain), (f'{{"system": "s", {turns}}}', "messages", led), (f'{{{turns}, "input": "i"}}', "messages", plain),
+        (f'{{{spoken}, "system": "s"}}', "speaker_text", led), (f'{{{spoken}, {turns}, "system": "s", "output": "o"}}', "messages", led),
+        ('{"prompt": "q", "completion": "a", "context": "c", "system": "s"}', "prompt_completion", led), ('{"prompt": "q", "messages": []}', None, []),
+    ]
+    df = spark.createDataFrame([(k, r) for k, (r, _, _) in enumerate(records)], "k int, r string")
+    found = chat.format_chat(df, "r").withColumn("b", chat.read_back(F.col("formatted"))).orderBy("k").collect()
+    assert [(r["mapping"], [(t["role"], t["text"]) for t in r["b"]]) for r in found] == [x[1:] for x in records]
+    assert all("".join(r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]) == "".join(t for role, t in x[2] if role == "assistant") for r, x in zip(found, records, strict=True))
