@@ -147,7 +147,36 @@ def template_questions(content: Column | str, heading: Column | str, tickets: Co
     return F.concat(head, F.transform(tickets, lambda t: F.concat(F.lit("What is the state of "), t, F.lit("?"))))
 
 
-def question_rows(chunks: DataFrame, provider: EmbeddingProvider, key: str = "chunk_id") -> DataFrame:
-    """``(key, question_index, question, question_embedding)`` of chunks with ``content``, ``section_heading`` and ``ticket_ids``."""
-    rows = chunks.select(key, F.posexplode(template_questions("content", "section_heading", "ticket_ids")).alias("question_index", "question"))
+def parse_questions(answer: str) -> list[str]:
+    """The strings of an answer that is a JSON array, fenced or not; anything else gives none."""
+    try:
+        found = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", answer.strip()))
+    except json.JSONDecodeError:
+        return []
+    return [x for x in found if isinstance(x, str)] if isinstance(found, list) else []
+
+
+def asked_questions(provider: Callable[[str], str], content: Column | str) -> Column:
+    """Questions by a provider that is given each chunk's content and answers with JSON; failures give none."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        rows = []
+        for text in texts:
+            try:
+                rows.append(parse_questions(provider(text)))
+            except Exception:
+                rows.append([])
+        return pd.Series(rows, dtype="object")
+
+    return run(content)
+
+
+def question_rows(chunks: DataFrame, provider: EmbeddingProvider, key: str = "chunk_id", questions: Callable[[str], str] | None = None) -> DataFrame:
+    """``(key, question_index, question, question_embedding)`` of chunks with ``content``, ``section_heading`` and ``ticket_ids``.
+
+    ``questions`` is a provider as of :func:`asked_questions`; without one, questions come from the template.
+    """
+    found = template_questions("content", "section_heading", "ticket_ids") if questions is None else asked_questions(questions, "content")
+    rows = chunks.select(key, found.alias("__q")).select(key, F.posexplode("__q").alias("question_index", "question"))
     return rows.withColumn("question_embedding", embedding(provider, "question"))

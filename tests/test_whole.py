@@ -7,6 +7,7 @@ import pytest
 
 from docloom.operators import retrieve
 from docloom.plans.catalog import QUERIES
+from docloom.providers import HashedWords, question_rows
 
 LONG = "word " * 30 + "late TECH-99 and OPS-42, XY-7 \nlast line"
 
@@ -46,3 +47,10 @@ def test_every_stated_query_is_searched(spark, tmp_path, monkeypatch):
         expected += [(q, n + 1, i, s) for n, (i, s) in enumerate(sorted(sims, key=lambda x: (-x[1], x[0]))[:10])]
     got = [tuple(r) for r in QUERIES["topk_per_query"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
     assert [r[:3] for r in got] == [r[:3] for r in expected] and [r[3] for r in got] == pytest.approx([r[3] for r in expected], abs=2e-6)
+
+
+def test_questions_by_a_provider(spark):
+    answers = {"a": '```json\n["Who?", "When?"]\n```', "b": '[3, "Why?"]', "c": '{"questions": ["Who?"]}', "d": "no json"}
+    df = spark.createDataFrame([(c, c, "H", ["TECH-1"]) for c in "abcde"], "chunk_id string, content string, section_heading string, ticket_ids array<string>")
+    got = question_rows(df, HashedWords(8), questions=lambda text: answers[text]).orderBy("chunk_id", "question_index").collect()
+    assert [(r["chunk_id"], r["question_index"], r["question"], len(r["question_embedding"])) for r in got] == [("a", 0, "Who?", 8), ("a", 1, "When?", 8), ("b", 0, "Why?", 8)]
