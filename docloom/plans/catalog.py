@@ -369,9 +369,10 @@ def _incoming(spark, sf_dir):
     return docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_id"), T.content_hash("text").alias("content_hash"), F.col("doc_id").alias("seq"))
 
 
-def _stored(spark, sf_dir):
-    """A third of the documents as stored, some of them with an older text."""
-    docs = R.table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+def _stored(spark, sf_dir, whole=False):
+    """A third of the documents as stored, or all of them, some with an older text."""
+    docs = R.table(spark, sf_dir, "documents")
+    docs = docs if whole else docs.where("doc_id % 3 = 0")
     text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" old"))).otherwise(F.col("text"))
     return docs.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_id"), T.content_hash(text).alias("content_hash"), F.when(F.col("doc_id") % 9 == 0, "gmail").otherwise("google_drive").alias("source_type"),
         F.when(F.col("doc_id") % 6 == 3, F.concat(F.lit("s"), (F.col("doc_id") - 3).cast("string"))).alias("parent_id"), F.array(F.col("lang"), F.lit("INBOX")).alias("labels"), F.col("doc_id"))
@@ -422,14 +423,14 @@ def cascade_delete(spark, sf_dir):
 
 @query(f"WITH {_SYNC_SQL} SELECT source_id, CASE WHEN doc_id % 2 = 0 THEN 'STARRED' ELSE lang || ',INBOX' END AS labels, source_type FROM sto")
 def label_only_update(spark, sf_dir):
-    stored = _stored(spark, sf_dir)
+    stored = _stored(spark, sf_dir, whole=True)
     fresh = stored.where("doc_id % 2 = 0").select("source_id", F.array(F.lit("STARRED")).alias("labels"))
     return sync.merge_labels(stored, fresh).select("source_id", F.array_join("labels", ",").alias("labels"), "source_type")
 
 
 @query(f"WITH {_SYNC_SQL} SELECT source_id, content_hash FROM sto WHERE content_hash IN (SELECT content_hash FROM inc)")
 def exists_by_hash(spark, sf_dir):
-    stored = _stored(spark, sf_dir).select("source_id", "content_hash")
+    stored = _stored(spark, sf_dir, whole=True).select("source_id", "content_hash")
     return stored.join(_incoming(spark, sf_dir).select("content_hash").distinct(), "content_hash", "left_semi").select("source_id", "content_hash")
 
 

@@ -54,3 +54,10 @@ def test_questions_by_a_provider(spark):
     df = spark.createDataFrame([(c, c, "H", ["TECH-1"]) for c in "abcde"], "chunk_id string, content string, section_heading string, ticket_ids array<string>")
     got = question_rows(df, HashedWords(8), questions=lambda text: answers[text]).orderBy("chunk_id", "question_index").collect()
     assert [(r["chunk_id"], r["question_index"], r["question"], len(r["question_embedding"])) for r in got] == [("a", 0, "Who?", 8), ("a", 1, "When?", 8), ("b", 0, "Why?", 8)]
+
+
+def test_all_documents_are_merged_and_looked_up(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i}", "en") for i in range(6)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = {r["source_id"]: (r["labels"], r["source_type"]) for r in QUERIES["label_only_update"](spark, str(tmp_path)).collect()}
+    assert labels == {f"s{i}": ("en,INBOX" if i % 2 else "STARRED", "google_drive" if i else "gmail") for i in range(6)}
+    assert sorted(r["source_id"] for r in QUERIES["exists_by_hash"](spark, str(tmp_path)).collect()) == ["s1", "s3", "s5"]
