@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
 ARROW_ROWS = 256
-_LOCAL_SHARED = "/tmp/docloom-shared"
+#: Most rows of a narrow table of keys that is sent to all tasks; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Without it, one of our own where all run on this machine, else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (given or _LOCAL_SHARED).rstrip("/")
+    if given:
+        return given.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"{tempfile.gettempdir()}/docloom-shared"
+    raise RuntimeError(f"spark.checkpoint.dir is unset on {master}: set it to a folder that the driver and all executors share")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -33,6 +40,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def for_lookup(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast where its size allows it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -4,9 +4,12 @@ Equal shingle sets collapse to one class first.  Signatures come from two
 permutations, one of them circularly shifted for each coordinate.  Bands of
 coordinates propose candidates in two rounds: each document against the first
 members of the few buckets that it shares most often; then, where a bucket still
-spans several components, all its pairs between them.  Signatures drop clear
-misses; all other candidates are confirmed on full sets, those of the second
-round block by block, so that no step has a row for each pair of a large group.
+spans several components, all its pairs between them.  What is known of a bucket
+(size, first member, components) is aggregated before the shuffle and joined to
+its members; a large bucket is cut into blocks, and pairs of blocks meet.
+Signatures drop clear misses; all other candidates are confirmed on full sets,
+those of the second round block by block.  So no task holds a bucket, and no
+step has a row for each pair of a large group.
 """
 
 from __future__ import annotations
@@ -16,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import materialize, small_batches, table
+from docloom.llm.bitmap import Bitmap
+from docloom.llm.common import for_lookup, materialize, small_batches, table
 from docloom.llm.components import connected_components
 from docloom.llm.vectortext import CirculantMinHash, mix, shingle_sets
 
@@ -66,31 +71,34 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-#: Ids of a block, and documents that meet one block in one task, when pairs between components are confirmed.
-BLOCK_IDS = 2_000
+#: Ids of a block, documents that meet one block in one task, and members of a bucket's block: what one group holds at most is about twice that.
+BLOCK_IDS = 256
 #: Candidates up to which a document's are confirmed pair by pair in the second round.
 FEW = 8
 _OPEN = "a long, block int, bs array<long>, comps array<long>"
 
 
 def _crossing(blocks: int):
-    """Of rows sorted by bucket: for each member the plausible later members of other components, a row for each block of theirs.
+    """Of rows sorted by group: for each member the plausible partners of other components, a row for each block of theirs.
 
-    Rows with a null ``a`` list the ids that any pair has, so that no later
-    step needs a row for each pair.
+    A group is two blocks of a bucket (sides 0 and 1), or one (side 0 alone),
+    whose members all meet.  Rows with a null ``a`` list the ids that any pair
+    has, so that no later step needs a row for each pair.
     """
 
     def flush(rows: pa.Table) -> pa.RecordBatch:
-        key = rows.column("key").to_numpy()
-        cid, comps, sizes = (rows.column(c).to_numpy() for c in ("cid", "comp", "n"))
+        key, gid = rows.column("key").to_numpy(), rows.column("gid").to_numpy()
+        cid, comps, sizes, sides = (rows.column(c).to_numpy() for c in ("cid", "comp", "n", "side"))
         sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (gid[1:] != gid[:-1]), [True]]))
         out, used = [], []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            order = np.argsort(cid[s:e], kind="stable") + s
+            order = np.lexsort((cid[s:e], sides[s:e])) + s
             ids, comp, n, sketch = cid[order], comps[order], sizes[order].astype(np.int64), sketches[order]
-            for k in range(e - s - 1):
-                near = np.flatnonzero((comp[k + 1 :] != comp[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= SIMILARITY * np.maximum(n[k + 1 :], n[k]))) + k + 1
+            ones = int(np.searchsorted(sides[order], 1))
+            for k in range(ones if ones < e - s else e - s - 1):
+                later = slice(ones if ones < e - s else k + 1, e - s)
+                near = np.flatnonzero((comp[later] != comp[k]) & (100 * np.minimum(n[later], n[k]) >= SIMILARITY * np.maximum(n[later], n[k]))) + later.start
                 near = near[(sketch[near] == sketch[k]).mean(axis=1) >= PLAUSIBLE] if len(near) else near
                 if len(near):
                     used += [ids[k : k + 1], ids[near]]
@@ -101,15 +109,16 @@ def _crossing(blocks: int):
         return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["a", "block", "bs", "comps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the bucket that may go on in the next batch
+        held: list[pa.RecordBatch] = []  # rows of the group that may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("key").to_numpy()
-            if held and held[-1].column("key")[0].as_py() != int(key[0]):
+            key, gid = batch.column("key").to_numpy(), batch.column("gid").to_numpy()
+            if held and (held[-1].column("key")[0].as_py(), held[-1].column("gid")[0].as_py()) != (int(key[0]), int(gid[0])):
                 yield flush(pa.Table.from_batches(held))
                 held = []
-            last = int(np.searchsorted(key, key[-1]))
+            same = (key == key[-1]) & (gid == gid[-1])
+            last = int(np.argmax(same))
             if last:
                 yield flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
                 held = []
@@ -120,6 +129,26 @@ def _crossing(blocks: int):
     return run
 
 
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """``(key, gid, side, cid, n, comp, sketch)``: the members of open buckets, once for each pair of blocks that they meet in.
+
+    Two members of a bucket's largest component never need to meet, so that
+    only the others meet all blocks.  A bucket of one block is one group.
+    """
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    buckets = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("n_most"), F.sum("c").alias("n_all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_IDS))).cast("int")
+    buckets = buckets.select("key", "most", (F.col("n_all") <= BLOCK_IDS).alias("small"), blocks(F.col("n_most")).alias("nm"), blocks(F.col("n_all") - F.col("n_most")).alias("no"))
+    dealt = members.join(materialize(buckets, "open-buckets"), "key")
+    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("cid"), F.when(F.col("comp") == F.col("most"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
+    with_most = "transform(sequence(0, {n} - 1), j -> named_struct('gid', 1L + no * no + {at}, 'side', {side}))"
+    meets_most = with_most.format(n="nm", at="i * nm + j", side="0")
+    met_by_others = with_most.format(n="no", at="j * nm + i", side="1")
+    among = "transform(sequence(0, no - 1), j -> named_struct('gid', 1L + least(i, j) * no + greatest(i, j), 'side', if(j < i, 1, 0)))"
+    groups = f"case when small then array(named_struct('gid', 0L, 'side', 0)) when comp = most then {met_by_others} else concat({among}, {meets_most}) end"
+    return dealt.withColumn("g", F.explode(F.expr(groups))).select("key", F.col("g.gid").alias("gid"), F.col("g.side").alias("side"), "cid", "n", "comp", "sketch")
+
+
 def _confirm_blocks(sets: pa.Table, asked: pa.Table) -> pa.Table:
     """For each asking document one link to each other component that has any, from the block's full sets."""
     of = {i: np.frombuffer(x.as_py(), np.uint64) for i, x in zip(sets["id"].to_pylist(), sets["shingles"], strict=True)}
@@ -151,29 +180,10 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
-class IdFilter:
-    """A bitmap of hashed ids: no false negatives, and of a size set by bounds, not by the data."""
-
-    def __init__(self, ids: DataFrame, least_bits: int = 15, most_bits: int = 27) -> None:
-        count = max(1, ids.count())
-        self.bits = 1 << min(most_bits, max(least_bits, (16 * count).bit_length()))
-        slot = self.place("id") + 1  # the bitmap functions count from 1
-        parts = ids.select(slot.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
-        self.map = np.zeros(self.bits // 8, np.uint8)
-        for p in parts:
-            at = (p["k"] - 1) * 4096
-            self.map[at : at + 4096] = np.frombuffer(p["m"], np.uint8)
-
-    def place(self, column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(self.bits))
-
-    def may_hold(self, places: np.ndarray) -> np.ndarray:
-        return (self.map[places >> 3] >> (places & 7)) & 1 == 1
-
-
 def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """``(id, shingles)`` of the documents whose id may be in ``ids``: the texts are read again, and no set of any other is kept."""
-    known = IdFilter(ids)
+    bits = Bitmap.bits_for(ids.count())
+    known = Bitmap(ids.select(Bitmap.place("id", bits).alias("place")), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +191,7 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text").filter(mask), WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(mask), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
-    given = documents.select(known.place("doc_id").alias("place"), "doc_id", "text").where("doc_id is not null")
+    given = documents.select(Bitmap.place("doc_id", bits).alias("place"), "doc_id", "text").where("doc_id is not null")
     return materialize(given.mapInArrow(run, "id long, shingles binary"), "shingle-sets")
 
 
@@ -213,7 +223,8 @@ def _links_between(documents: DataFrame, members: DataFrame, sketches: DataFrame
     documents ask for is laid out several times.
     """
     blocks = max(1, -(-members.select("cid").distinct().count() // BLOCK_IDS))
-    near = members.join(sketches, "cid").repartition("key").sortWithinPartitions("key").mapInArrow(_crossing(blocks), _OPEN)
+    met = _block_pairs(materialize(members.join(sketches, "cid"), "open-members"))
+    near = met.repartition("key", "gid").sortWithinPartitions("key", "gid").mapInArrow(_crossing(blocks), _OPEN)
     near = materialize(near, "open-candidates")
     asked = near.where("a is not null").groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("bs", "comps")))).alias("z"))
     asked = asked.select("a", "block", F.col("z.bs").alias("bs"), F.col("z.comps").alias("comps"), F.sum(F.size("z")).over(Window.partitionBy("a")).alias("many"))
@@ -230,6 +241,30 @@ def _links_between(documents: DataFrame, members: DataFrame, sketches: DataFrame
     return materialize(few.union(many).distinct(), "links")
 
 
+def _bucket_members(classes: DataFrame) -> DataFrame:
+    """``(key, cid, n, leader, leader_n)`` of the buckets with two classes at least.
+
+    A first count over the keys alone finds those; a bitmap of them then keeps
+    nearly all other members from being shuffled.
+    """
+    shared = materialize(classes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key"), "shared-keys")
+    bits = Bitmap.bits_for(shared.count())
+    known = Bitmap(shared.select(Bitmap.low("key", bits).alias("place")), bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("bands")
+            keys, of = lists.flatten().to_numpy(), pc.list_parent_indices(lists)
+            mask = pa.array(known.may_hold_hash(keys))
+            of = of.filter(mask)
+            yield pa.RecordBatch.from_arrays([pa.array(keys).filter(mask), batch.column("cid").take(of), batch.column("n").take(of)], ["key", "cid", "n"])
+
+    likely = materialize(classes.select("cid", "n", "bands").mapInArrow(run, "key long, cid long, n int"), "likely-members")
+    buckets = likely.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cid", "n")).alias("leader")).where("size > 1")
+    buckets = materialize(buckets.select("key", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n")), "buckets")
+    return likely.join(buckets, "key").select("key", "cid", "n", "leader", "leader_n")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of each input row.
 
@@ -244,13 +279,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     small_batches(documents.sparkSession)
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketches = materialize(documents.mapInArrow(_sketch, _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("least"))
-    classes = materialize(classes.select("digest", F.col("least.doc_id").alias("cid"), F.col("least.row").alias("row")), "set-classes")
-    whole = sketches.select("row", "n", "bands", "sketch").join(classes.select("row", "cid"), "row")
-    bucket = Window.partitionBy("key")
-    members = whole.select(F.explode("bands").alias("key"), "cid", "n").withColumns({"size": F.count("*").over(bucket), "leader": F.min(F.struct("cid", "n")).over(bucket)})
-    members = materialize(members.where("size > 1").select("key", "cid", "n", F.col("leader.cid").alias("leader"), F.col("leader.n").alias("leader_n")), "bucket-members")
-    own = whole.select("cid", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
+    classes = sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), *(F.any_value(c).alias(c) for c in ("n", "bands", "sketch")))
+    classes = materialize(classes, "set-classes")
+    members = materialize(_bucket_members(classes), "bucket-members")
+    own = classes.select("cid", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
     own = materialize(own, "member-sketches")
     likely = f"100L * least(n, leader_n) >= {SIMILARITY}L * greatest(n, leader_n)"
     stars = members.where("cid <> leader").where(likely).groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
@@ -259,8 +291,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links = _links(documents, _alike_only(nearest, own))
     found = materialize(connected_components(links), "components")
     still = members.select("key", "cid", "n").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-    still = still.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low <> high")
-    more = _links_between(documents, materialize(still.select("key", "cid", "n", "comp"), "open-buckets"), own)
+    still = materialize(still, "members-by-component")
+    split = still.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    more = _links_between(documents, still.join(materialize(split, "split-buckets"), "key"), own)
     if not more.isEmpty():
         found = materialize(connected_components(links.union(more)), "components")
     named = classes.join(found, classes.cid == found.id, "left").select("digest", F.coalesce("component", "cid").alias("component"))
@@ -282,7 +315,7 @@ def without_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_c
     judged = near_duplicates(documents, id_col, text_col)
     gone = materialize(judged.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-duplicates")
     repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    left = documents.join(gone, documents[id_col].cast("long") == gone["__id"], "left_anti")
+    left = documents.join(for_lookup(gone), documents[id_col].cast("long") == gone["__id"], "left_anti")
     repeated = materialize(repeated, "repeated-ids")
     if repeated.isEmpty():
         return left

@@ -446,23 +446,25 @@ def plain_components(ids, texts):
     return {i: (len(sets[k]), find(i)) for k, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize(("seed", "few", "block"), [(1, 8, 2000), (2, 0, 3)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, few, block):
+@pytest.mark.parametrize(("seed", "few", "block", "bases", "copies"), [(1, 8, 256, 8, 14), (2, 0, 8, 2, 60)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, few, block, bases, copies):
+    """The second case cuts the buckets of large groups, which have members outside their components, into many blocks."""
     monkeypatch.setattr(near_dup, "FEW", few)
     monkeypatch.setattr(near_dup, "BLOCK_IDS", block)
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     texts = [t for t in EDGE_TEXTS if t is None or len(t) < 1000]
-    for _ in range(8):
-        base = [word() for _ in range(r.choice([6, 40, 150]))]
-        for _ in range(14):
+    for _ in range(bases):
+        base = [word() for _ in range(r.choice([6, 40, 150] if bases > 2 else [100]))]
+        for _ in range(copies):
             copy = list(base)
-            for _ in range(r.randint(0, 1 + len(base) // 25)):
+            for _ in range(r.randint(0, 1 + len(base) // (25 if bases > 2 else 14))):
                 copy[r.randrange(len(copy))] = word()
             texts.append(" ".join(copy))
     ids = r.sample(range(1000), len(texts))
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(docs(spark, texts, ids)).collect()}
-    assert got == plain_components(ids, texts)
+    got, want = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(docs(spark, texts, ids)).collect()}, plain_components(ids, texts)
+    assert got == want
+    assert bases > 2 or 2 < len({c for n, c in want.values() if n > 50}) < copies
 
 
 def test_near_duplicates_edges(spark, edge):
