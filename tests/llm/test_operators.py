@@ -146,13 +146,21 @@ def test_nearest_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (50, [1.0, 1.0]), (51, None), (52, [0.0, 0.0]), (53, [float("nan"), 1.0]), (54, [None, 1.0]), (55, [float("inf"), 1.0]), (56, [1.0]), (None, [1.0, 0.0]), (57, []), (3, [0.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, is_query int")
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in nearest.nearest(df, "vec_id % 50 = 0").orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.707107), (0, 4, 3, 0.0), (50, 1, 0, 0.707107), (50, 2, 1, 0.707107), (50, 3, 2, 0.707107), (50, 4, 3, 0.707107)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.707107), (0, 4, 3, 0.0), (0, 5, 3, 0.0), (50, 1, 0, 0.707107), (50, 2, 1, 0.707107), (50, 3, 2, 0.707107), (50, 4, 3, 0.707107), (50, 5, 3, 0.707107)]
+    twice = spark.createDataFrame([(50, [1.0, 0.0], 0), (50, [1.0, 0.0], 0), (1, [0.0, 2.0], 0), (100, [1.0, 1.0, 1.0], 0), (2, [1.0, 1.0, 0.0], 0), (3, [1.0], 0)], "vec_id long, embedding array<float>, score int")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in nearest.nearest(twice, "vec_id % 50 = 0").collect())
+    assert got == [(50, 1, 50, 1.0), (50, 1, 50, 1.0), (50, 2, 1, 0.0), (50, 2, 1, 0.0), (100, 1, 2, 0.816497)]
     assert nearest.nearest(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
-def test_nearest_recall(spark):
+def test_nearest_recall(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 16)
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 500)
+    visited = []
+    visit = nearest.MultiIndex.calibrate
+    monkeypatch.setattr(nearest.MultiIndex, "calibrate", lambda self, q, near, counts: (visit(self, q, near, counts), visited.append(self.enough / counts.sum())))
     draw = np.random.default_rng(5)
-    x = draw.standard_normal((6000, 16)).astype(np.float32)
+    x = (draw.standard_normal((40, 16))[draw.integers(0, 40, 6000)] + 0.4 * draw.standard_normal((6000, 16))).astype(np.float32)
     x[:2000] = x[0] + 0  # a hot vector
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {}
@@ -167,15 +175,14 @@ def test_nearest_recall(spark):
         hit += sum(found[k][1] >= limit - 1e-9 for k in found)
         total += 5
         assert [v for v, _ in (found[k] for k in sorted(found))] == [v for v, _ in sorted(found.values(), key=lambda p: (-p[1], p[0]))]
-    assert len(got) == 120 and hit / total >= 0.9
-    assert [v for v, _ in (got[0][k] for k in range(1, 6))] == [1, 2, 3, 4, 5]
+    assert len(got) == 120 and hit / total >= 0.9 and visited[0] < 0.2
+    assert [v for v, _ in (got[0][k] for k in range(1, 6))] == [1, 2, 3, 4, 5] and [v for v, _ in (got[50][k] for k in range(1, 6))] == [0, 1, 2, 3, 4]
 
 
 def test_multi_index_heap_visits_by_distance():
     draw = np.random.default_rng(1)
     sample = draw.standard_normal((4000, 8))
     index = nearest.MultiIndex(sample, 4000)
-    index.share = 1.0
     counts = np.bincount(index.cells(sample), minlength=len(index.first) * len(index.second))
     q = draw.standard_normal(8)
     order = index.visit(q, counts)
@@ -464,7 +471,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, few, block,
     ids = r.sample(range(1000), len(texts))
     got, want = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(docs(spark, texts, ids)).collect()}, plain_components(ids, texts)
     assert got == want
-    assert bases > 2 or 2 < len({c for n, c in want.values() if n > 50}) < copies
+    sizes = Counter(c for n, c in want.values() if n > 50)
+    assert bases > 2 or (max(sizes.values()) > 10 and len(sizes) > 10)
 
 
 def test_near_duplicates_edges(spark, edge):
