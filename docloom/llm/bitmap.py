@@ -33,13 +33,20 @@ class Bitmap:
         """Place of a value that is no hash yet."""
         return F.pmod(F.xxhash64(column), F.lit(bits))
 
-    @staticmethod
-    def low(column: str, bits: int) -> Column:
-        """Place of a value that is a hash: its low bits."""
-        return F.col(column).bitwiseAND(F.lit(bits - 1).cast("long"))
+    @classmethod
+    def of_hashes(cls, hashes: DataFrame, column: str, most: int = 27) -> Bitmap:
+        """Of values that are hashes already: each sets the bits that its low and its high half name."""
+        bits = cls.bits_for(2 * hashes.count(), most=most)
+        mask = F.lit(bits - 1).cast("long")
+        both = F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))
+        return cls(hashes.select(F.explode(both).alias("place")), bits)
 
     def may_hold(self, places: np.ndarray) -> np.ndarray:
         return (self._shared.value[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
 
     def may_hold_hash(self, hashes: np.ndarray) -> np.ndarray:
-        return self.may_hold((hashes.view(np.uint64) & np.uint64(self.bits - 1)).astype(np.int64))
+        given, mask = hashes.view(np.uint64), np.uint64(self.bits - 1)
+        out = self.may_hold((given & mask).view(np.int64))
+        at = np.flatnonzero(out)
+        out[at] = self.may_hold(((given[at] >> np.uint64(32)) & mask).view(np.int64))
+        return out

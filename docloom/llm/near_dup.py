@@ -248,8 +248,7 @@ def _bucket_members(classes: DataFrame) -> DataFrame:
     nearly all other members from being shuffled.
     """
     shared = materialize(classes.select(F.explode("bands").alias("key")).groupBy("key").count().where("count > 1").select("key"), "shared-keys")
-    bits = Bitmap.bits_for(shared.count())
-    known = Bitmap(shared.select(Bitmap.low("key", bits).alias("place")), bits)
+    known = Bitmap.of_hashes(shared, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -283,25 +284,32 @@ def test_language_model_base_scores(spark, edge):
 
 
 def plain_contaminated(text, item):
-    norm = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    spaced = lambda t: re.sub("([\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e7f])", r" \1 ", t.lower())
+    norm = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in spaced(t)).split()
     a, b = norm(text), norm(item)
+    if len(b) < 5:
+        return bool(b) and a == b
     least = min(12, len(b))
-    return any(sum(a[p + k] == b[q + k] for k in range(least)) >= math.ceil(0.8 * least - 1e-9) for p in range(len(a) - least + 1) for q in range(len(b) - least + 1)) if len(b) >= 5 else False
+    return any(sum(a[p + k] == b[q + k] for k in range(least)) >= math.ceil(0.8 * least - 1e-9) for p in range(len(a) - least + 1) for q in range(len(b) - least + 1))
+
+
+def test_no_leak_escapes_the_masks():
+    assert all(decontaminate.least_seeds(n) >= 1 for n in range(1, 13)) and decontaminate.least_seeds(12) > 1
 
 
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(3))
-    items = [" ".join(word() for _ in range(n)) for n in (5, 8, 16, 30, 59, 3)]
+    items = [" ".join(word() for _ in range(n)) for n in (5, 8, 16, 30, 59, 3)] + ["".join(r.choice("日本語東京大学研究所") for _ in range(20))]
     texts = []
     for k in range(120):
-        passage = items[k % 6].split()
+        passage = items[k % 7].split() if k % 7 < 6 else list(items[6])
         at = r.randint(0, max(0, len(passage) - 12))
         passage = passage[at : at + r.choice([8, 12, 14, 60])]
         for j in range(r.randint(0, 1), len(passage), r.choice([6, 7, 9, 100])):
             passage[j] = word()
         texts.append(" ".join([word() for _ in range(r.randint(0, 30))] + [w.upper() + "!!" if k % 5 == 0 else w for w in passage] + [word() for _ in range(r.randint(0, 30))]))
-    texts += [None, "", "same", items[3], items[3]]
+    texts += [None, "", "same", items[3], items[3], items[5], items[5] + "!", "x " + items[5], "前" + items[6] + "後", items[6][4:17]]
     bench = spark.createDataFrame([(k, t, "x") for k, t in enumerate(items)] + [(None, "a b c d e f", "x"), (99, None, "x")], "item_id long, text string, spans string")
     df = docs(spark, texts)
     got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contamination(df, bench).collect()}
@@ -312,12 +320,13 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contamination(df, bench.limit(0)).count() == 0 and decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
-    items = [" ".join(f"w{k}x{j}" for j in range(8)) for k in range(6)]
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs(spark, items), bench).collect()}
-    assert got == {(k, k) for k in range(6)}
+def test_decontamination_of_common_seeds(spark):
+    """A phrase that all documents and many items hold is no leak by itself; one passage in very many documents is found in each."""
+    phrase, passage = "one of the most", " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([(k, f"{' '.join(f'i{k}x{j}' for j in range(9))} {phrase} {' '.join(f'j{k}x{j}' for j in range(9))}") for k in range(40)] + [(99, passage)], "item_id long, text string")
+    texts = [f"d{k} {phrase} e{k} " * 5 + (passage if k % 3 == 0 else "") for k in range(90)]
+    got = {(r["doc_id"], r["item_id"], r["item_word"], r["n_words"]) for r in decontaminate.contamination(docs(spark, texts), bench).collect()}
+    assert got == {(k, 99, 0, 20) for k in range(0, 90, 3)}
 
 
 # 6 quality
@@ -458,6 +467,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, few, block,
     """The second case cuts the buckets of large groups, which have members outside their components, into many blocks."""
     monkeypatch.setattr(near_dup, "FEW", few)
     monkeypatch.setattr(near_dup, "BLOCK_IDS", block)
+    monkeypatch.setattr(near_dup, "BUCKET_BLOCK", block)
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     texts = [t for t in EDGE_TEXTS if t is None or len(t) < 1000]
