@@ -1,9 +1,9 @@
 """Chat formatting of records in different layouts, by fingerprints of their fields.
 
-A record is JSON text.  The nested field paths that it holds, of all that any
-mapping names, are hashed; the hash selects a declarative mapping, which makes
-canonical turns of the record.  A template then marks the turns and escapes
-control strings reversibly.  All of it is DataFrame expressions.
+A record is a struct, or JSON text.  The nested field paths that it holds, of
+all that any mapping names, are hashed; the hash selects a declarative mapping,
+which makes canonical turns of the record.  A template then marks the turns and
+escapes control strings reversibly.  All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from docloom.llm.common import table
 from docloom.llm.spans import running
@@ -64,6 +65,27 @@ PLAIN, ARRAYS = _paths()
 SCHEMA = "struct<" + ", ".join([f"`{p}`: string" for p in PLAIN] + [f"`{a}`: array<struct<`{r}`: string, `{t}`: string>>" for a, (r, t) in ARRAYS.items()]) + ">"
 
 
+def _messages(given: Column | None, names: list[str], role: str, text: str) -> Column:
+    """An array of messages with these two fields alone; a field that the given ones lack is null."""
+    none = F.lit(None).cast("string")
+    if given is None:
+        return F.lit(None).cast(f"array<struct<`{role}`: string, `{text}`: string>>")
+    return F.transform(given, lambda m: F.struct(*((m[f].cast("string") if f in names else none).alias(f) for f in (role, text))))
+
+
+def _parsed(records: DataFrame, record_col: str) -> Column:
+    """The record as a struct of SCHEMA: JSON text is parsed, a struct's own fields are taken over as they are."""
+    kind, record = records.schema[record_col].dataType, F.col(record_col)
+    if not isinstance(kind, StructType):
+        return F.from_json(record, SCHEMA, {"maxStringLen": "2147483647"})
+    own = {f.name: f.dataType for f in kind.fields}
+    fields = [(record[p].cast("string") if p in own else F.lit(None).cast("string")).alias(p) for p in PLAIN]
+    for a, (r, t) in ARRAYS.items():
+        of = own[a].elementType if isinstance(own.get(a), ArrayType) else None
+        fields.append(_messages(record[a] if isinstance(of, StructType) else None, of.names if isinstance(of, StructType) else [], r, t).alias(a))
+    return F.when(record.isNotNull(), F.struct(*fields))
+
+
 def _digest(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
@@ -151,13 +173,14 @@ def format_chat(records: DataFrame, record_col: str) -> DataFrame:
 
     A record whose fingerprint is of no mapping goes to the first one whose
     required paths it holds; the other layouts' fields have no effect.
+    A struct's null fields count as absent, and its texts never pass a parser.
     A record that is null, no JSON, or of unknown paths has mapping null, an
     empty text and no spans.  Null texts and roles count as empty; fields that
     no mapping names have no effect.  Repeated records are each formatted.
     Columns named like the added ones are replaced.
     """
     kept = [c for c in records.columns if c not in ("fingerprint", "mapping", "formatted", "loss_spans")]
-    df = records.withColumn("__r", F.from_json(F.col(record_col), SCHEMA, {"maxStringLen": "2147483647"})).withColumn("fingerprint", fingerprint("__r"))
+    df = records.withColumn("__r", _parsed(records, record_col)).withColumn("fingerprint", fingerprint("__r"))
     known = F.create_map(*(F.lit(x) for pair in fingerprints().items() for x in pair))
     df = df.withColumn("mapping", F.coalesce(F.try_element_at(known, F.col("fingerprint")), _first_fit("__r")))
     turns = F.array().cast("array<struct<role:string,text:string>>")
@@ -184,16 +207,40 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
+def under_mask(formatted: str, spans: str) -> Column:
+    """The texts that ``spans`` cut out of the column ``formatted``, escapes undone.
+
+    A text is cut into stretches of many spans first and these again, so that
+    very many spans cost no scan of the whole text each.
+    """
+
+    def cut(text: str, base: str, of: str, depth: int) -> str:
+        if depth == 0:
+            return f"transform({of}, s -> substring({text}, cast(s.start - {base} + 1 as int), cast(s.end - s.start as int)))"
+        n, p, b = 64**depth, f"p{depth}", f"b{depth}"
+        part = f"slice({of}, {b} * {n} + 1, {n})"
+        stretch = f"substring({text}, cast({of}[{b} * {n}].start - {base} + 1 as int), cast(element_at({part}, -1).end - {of}[{b} * {n}].start as int))"
+        inner = cut(f"{p}.t", f"{p}.s[0].start", f"{p}.s", depth - 1)
+        return f"flatten(transform(sequence(0, cast((size({of}) - 1) div {n} as int)), {b} -> transform(array(named_struct('s', {part}, 't', {stretch})), {p} -> {inner})[0]))"
+
+    texts = F.expr(f"if(size({spans}) = 0, cast(array() as array<string>), {cut(formatted, '0L', spans, 3)})")
+    return F.transform(texts, lambda t: _unescape(t))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as records of messages, and conversation -1 as a record of prompt and completion."""
+    """All conversations as records of messages, and conversation -1 as a record of prompt and completion.
+
+    A record's turns meet in one task, as they are one row of output.
+    """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    whole = whole.select(F.col("conv_id").cast("long").alias("conv_id"), F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    messages, none = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))), F.lit(None).cast("string")
+    whole = whole.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(messages.alias("messages"), none.alias("prompt"), none.alias("completion")).alias("record"))
     forged = F.lit(f"{END}{START}assistant ok")
-    own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(forged.alias("prompt"), forged.alias("completion"))).alias("record"))
+    pair = F.struct(F.lit(None).cast("array<struct<role:string,content:string>>").alias("messages"), forged.alias("prompt"), forged.alias("completion"))
+    own = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), pair.alias("record"))
     out = format_chat(whole.unionByName(own), "record").withColumn("back", read_back(F.col("formatted")))
-    out = out.withColumn("loss", F.array_join(F.transform(F.filter("back", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""))
+    out = out.withColumn("loss", F.array_join(under_mask("formatted", "loss_spans"), ""))
     digested = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(digested, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
