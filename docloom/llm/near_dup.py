@@ -2,20 +2,21 @@
 
 Equal shingle sets collapse to one class first.  Signatures come from two
 permutations, one of them circularly shifted for each coordinate.  Bands of
-coordinates propose candidates in two rounds: each document against the first
+coordinates propose candidates in three rounds: each document against the first
 members of the few buckets that it shares most often; then, where a bucket still
-spans several components, all its pairs between them.  What is known of a bucket
+spans several components, each member against the one most alike in another; and
+last, where it does so yet, all pairs between them.  What is known of a bucket
 (size, first member, components) is aggregated before the shuffle and joined to
 its members; a large bucket is cut into blocks, and pairs of blocks meet.
 Signatures drop clear misses; all other candidates are confirmed on full sets,
-those of the second round block by block.  So no task holds a bucket, and no
+those of the last round block by block.  So no task holds a bucket, and no
 step has a row for each pair of a large group.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ WIDTH = 5
 SIMILARITY = 75
 #: Share of equal coordinates from which a candidate is confirmed on full sets; 0.75 is five deviations above.
 PLAUSIBLE = 0.6
-#: Buckets' first members that the first round tries for each document; the second round tries all others that matter.
+#: Buckets' first members that the first round tries for each document; the later rounds try all others that matter.
 NEAREST = 3
 _SKETCH = "doc_id long, n int, digest binary, bands array<long>, sketch binary"
 
@@ -71,42 +72,56 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
 
-#: Ids of a block, documents that meet one block in one task, and members of a bucket's block: what one group holds at most is about twice that.
+#: Ids of a block, and documents that meet one block in one task, when pairs are confirmed in the last round.
 BLOCK_IDS = 256
-#: Candidates up to which a document's are confirmed pair by pair in the second round.
+#: Members of a bucket's block: two blocks meet in one task.
+BUCKET_BLOCK = 512
+#: Candidates up to which a document's are confirmed pair by pair in the last round.
 FEW = 8
 _OPEN = "a long, block int, bs array<long>, comps array<long>"
 
 
-def _crossing(blocks: int):
-    """Of rows sorted by group: for each member the plausible partners of other components, a row for each block of theirs.
-
-    A group is two blocks of a bucket (sides 0 and 1), or one (side 0 alone),
-    whose members all meet.  Rows with a null ``a`` list the ids that any pair
-    has, so that no later step needs a row for each pair.
-    """
-
-    def flush(rows: pa.Table) -> pa.RecordBatch:
+class _Group:
+    """Two blocks of a bucket (sides 0 and 1), or one (side 0 alone) whose members all meet."""
+
+    def __init__(self, key: int, cid: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, bands: np.ndarray, sketch: np.ndarray) -> None:
+        self.two_sides = bool(side.any())
+        common, counts = np.unique(comp, return_counts=True)
+        last = side == 1 if self.two_sides else comp == common[counts.argmax()]  # two of these never have to meet
+        order = np.lexsort((cid, last))
+        self.ids, self.comp, self.n, self.bands, self.sketch = cid[order], comp[order], n[order].astype(np.int64), bands[order], sketch[order]
+        self.asking = len(cid) - int(last.sum())
+        self.band = int((self.bands == key).any(axis=0).argmax())  # a repeated id may come with another text's bands
+
+    def plausible(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each member: those it meets that lie in another component and may be alike, and the shares of equal coordinates.
+
+        Two documents that share several buckets meet in the first of them alone.
+        """
+        for k in range(self.asking):
+            at = self.asking if self.two_sides else k + 1
+            n = self.n[at:]
+            near = np.flatnonzero((self.comp[at:] != self.comp[k]) & (100 * np.minimum(n, self.n[k]) >= SIMILARITY * np.maximum(n, self.n[k]))) + at
+            if len(near):
+                near = near[(self.bands[near] == self.bands[k]).argmax(axis=1) == self.band]
+            if len(near):
+                alike = (self.sketch[near] == self.sketch[k]).mean(axis=1)
+                keep = alike >= PLAUSIBLE
+                if keep.any():
+                    yield k, near[keep], alike[keep]
+
+
+def _by_group(handle: Callable[[Iterator[_Group]], pa.RecordBatch]):
+    """Apply ``handle`` to the whole groups among rows sorted by ``key`` and ``gid``."""
+
+    def groups(rows: pa.Table) -> Iterator[_Group]:
         key, gid = rows.column("key").to_numpy(), rows.column("gid").to_numpy()
-        cid, comps, sizes, sides = (rows.column(c).to_numpy() for c in ("cid", "comp", "n", "side"))
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+        columns = [rows.column(c).to_numpy() for c in ("cid", "comp", "n", "side")]
+        columns.append(rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS))
+        columns.append(np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS))
         edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (gid[1:] != gid[:-1]), [True]]))
-        out, used = [], []
         for s, e in zip(edges[:-1], edges[1:], strict=True):
-            order = np.lexsort((cid[s:e], sides[s:e])) + s
-            ids, comp, n, sketch = cid[order], comps[order], sizes[order].astype(np.int64), sketches[order]
-            ones = int(np.searchsorted(sides[order], 1))
-            for k in range(ones if ones < e - s else e - s - 1):
-                later = slice(ones if ones < e - s else k + 1, e - s)
-                near = np.flatnonzero((comp[later] != comp[k]) & (100 * np.minimum(n[later], n[k]) >= SIMILARITY * np.maximum(n[later], n[k]))) + later.start
-                near = near[(sketch[near] == sketch[k]).mean(axis=1) >= PLAUSIBLE] if len(near) else near
-                if len(near):
-                    used += [ids[k : k + 1], ids[near]]
-                    at = ids[near] % blocks
-                    out += [(int(ids[k]), int(block), ids[near[at == block]], comp[near[at == block]]) for block in np.unique(at)]
-        out.append((None, -1, np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64), []))
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["a", "block", "bs", "comps"])
+            yield _Group(int(key[s]), *(c[s:e] for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the group that may go on in the next batch
@@ -115,30 +130,66 @@ def _crossing(blocks: int):
                 continue
             key, gid = batch.column("key").to_numpy(), batch.column("gid").to_numpy()
             if held and (held[-1].column("key")[0].as_py(), held[-1].column("gid")[0].as_py()) != (int(key[0]), int(gid[0])):
-                yield flush(pa.Table.from_batches(held))
+                yield handle(groups(pa.Table.from_batches(held)))
                 held = []
-            same = (key == key[-1]) & (gid == gid[-1])
-            last = int(np.argmax(same))
+            last = int(np.argmax((key == key[-1]) & (gid == gid[-1])))
             if last:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                yield handle(groups(pa.Table.from_batches([*held, batch.slice(0, last)])))
                 held = []
             held.append(batch.slice(last))
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield handle(groups(pa.Table.from_batches(held)))
 
     return run
 
 
+def _most_alike(groups: Iterator[_Group]) -> pa.RecordBatch:
+    """For each member that has any plausible partner: the most alike of them, and how alike."""
+    out = []
+    for g in groups:
+        best, of = np.zeros(len(g.ids)), np.zeros(len(g.ids), np.int64)
+        for k, near, alike in g.plausible():
+            top = int(np.argmax(alike))
+            if alike[top] > best[k]:
+                best[k], of[k] = alike[top], g.ids[near[top]]
+            if not g.two_sides:
+                more = alike > best[near]
+                best[near[more]], of[near[more]] = alike[more], g.ids[k]
+        out += [(int(g.ids[k]), int(of[k]), float(best[k])) for k in np.flatnonzero(best)]
+    return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["x", "y", "alike"])
+
+
+def _crossing(blocks: int):
+    """For each member the plausible partners, a row for each block of theirs.
+
+    Rows with a null ``a`` list the ids that any pair has, so that no later
+    step needs a row for each pair.
+    """
+
+    def handle(groups: Iterator[_Group]) -> pa.RecordBatch:
+        out, used = [], []
+        for g in groups:
+            for k, near, _ in g.plausible():
+                used += [g.ids[k : k + 1], g.ids[near]]
+                at = g.ids[near] % blocks
+                out += [(int(g.ids[k]), int(block), g.ids[near[at == block]], g.comp[near[at == block]]) for block in np.unique(at)]
+        out.append((None, -1, np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64), []))
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["a", "block", "bs", "comps"])
+
+    return handle
+
+
 def _block_pairs(members: DataFrame) -> DataFrame:
-    """``(key, gid, side, cid, n, comp, sketch)``: the members of open buckets, once for each pair of blocks that they meet in.
+    """``(key, gid, side, cid, n, comp, bands, sketch)``: the members of open buckets, once for each pair of blocks that they meet in, sorted by that.
 
     Two members of a bucket's largest component never need to meet, so that
     only the others meet all blocks.  A bucket of one block is one group.
     """
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
     buckets = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.max("c").alias("n_most"), F.sum("c").alias("n_all"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_IDS))).cast("int")
-    buckets = buckets.select("key", "most", (F.col("n_all") <= BLOCK_IDS).alias("small"), blocks(F.col("n_most")).alias("nm"), blocks(F.col("n_all") - F.col("n_most")).alias("no"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BUCKET_BLOCK))).cast("int")
+    buckets = buckets.select("key", "most", (F.col("n_all") <= BUCKET_BLOCK).alias("small"), blocks(F.col("n_most")).alias("nm"), blocks(F.col("n_all") - F.col("n_most")).alias("no"))
     dealt = members.join(materialize(buckets, "open-buckets"), "key")
     dealt = dealt.withColumn("i", F.pmod(F.xxhash64("cid"), F.when(F.col("comp") == F.col("most"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
     with_most = "transform(sequence(0, {n} - 1), j -> named_struct('gid', 1L + no * no + {at}, 'side', {side}))"
@@ -146,7 +197,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     met_by_others = with_most.format(n="no", at="j * nm + i", side="1")
     among = "transform(sequence(0, no - 1), j -> named_struct('gid', 1L + least(i, j) * no + greatest(i, j), 'side', if(j < i, 1, 0)))"
     groups = f"case when small then array(named_struct('gid', 0L, 'side', 0)) when comp = most then {met_by_others} else concat({among}, {meets_most}) end"
-    return dealt.withColumn("g", F.explode(F.expr(groups))).select("key", F.col("g.gid").alias("gid"), F.col("g.side").alias("side"), "cid", "n", "comp", "sketch")
+    return dealt.withColumn("g", F.explode(F.expr(groups))).select("key", F.col("g.gid").alias("gid"), F.col("g.side").alias("side"), "cid", "n", "comp", "bands", "sketch").repartition("key", "gid").sortWithinPartitions("key", "gid")
 
 
 def _confirm_blocks(sets: pa.Table, asked: pa.Table) -> pa.Table:
@@ -214,7 +265,14 @@ def _links(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(_confirmed(pairs, sets).distinct(), "links")
 
 
-def _links_between(documents: DataFrame, members: DataFrame, sketches: DataFrame) -> DataFrame:
+def _likeliest_links(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """Links of each document in an open bucket to the one most alike in another component."""
+    tried = _block_pairs(members).mapInArrow(_by_group(_most_alike), "x long, y long, alike double")
+    pairs = tried.groupBy("x").agg(F.max_by("y", F.struct("alike", -F.col("y"))).alias("y"))
+    return _links(documents, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def _links_between(documents: DataFrame, members: DataFrame) -> DataFrame:
     """Links between the components that meet in a bucket: at least one for each two that any pair of the bucket links.
 
     A document with few candidates is confirmed pair by pair.  One with many
@@ -223,8 +281,7 @@ def _links_between(documents: DataFrame, members: DataFrame, sketches: DataFrame
     documents ask for is laid out several times.
     """
     blocks = max(1, -(-members.select("cid").distinct().count() // BLOCK_IDS))
-    met = _block_pairs(materialize(members.join(sketches, "cid"), "open-members"))
-    near = met.repartition("key", "gid").sortWithinPartitions("key", "gid").mapInArrow(_crossing(blocks), _OPEN)
+    near = _block_pairs(members).mapInArrow(_by_group(_crossing(blocks)), _OPEN)
     near = materialize(near, "open-candidates")
     asked = near.where("a is not null").groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("bs", "comps")))).alias("z"))
     asked = asked.select("a", "block", F.col("z.bs").alias("bs"), F.col("z.comps").alias("comps"), F.sum(F.size("z")).over(Window.partitionBy("a")).alias("many"))
@@ -264,6 +321,14 @@ def _bucket_members(classes: DataFrame) -> DataFrame:
     return likely.join(buckets, "key").select("key", "cid", "n", "leader", "leader_n")
 
 
+def _open_members(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(cid, key, n, comp, bands, sketch)`` of the buckets that span several components."""
+    named = members.select("key", "cid", "n").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
+    named = materialize(named, "members-by-component")
+    split = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return named.join(materialize(split, "split-buckets"), "key").join(sketches, "cid")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of each input row.
 
@@ -281,20 +346,22 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), *(F.any_value(c).alias(c) for c in ("n", "bands", "sketch")))
     classes = materialize(classes, "set-classes")
     members = materialize(_bucket_members(classes), "bucket-members")
-    own = classes.select("cid", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
+    own = classes.select("cid", "bands", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
     own = materialize(own, "member-sketches")
     likely = f"100L * least(n, leader_n) >= {SIMILARITY}L * greatest(n, leader_n)"
     stars = members.where("cid <> leader").where(likely).groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
     nearest = stars.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b")
-    links = _links(documents, _alike_only(nearest, own))
+    links = _links(documents, _alike_only(nearest, own.select("cid", "sketch")))
     found = materialize(connected_components(links), "components")
-    still = members.select("key", "cid", "n").join(found, members.cid == found.id, "left").select("key", "cid", "n", F.coalesce("component", "cid").alias("comp"))
-    still = materialize(still, "members-by-component")
-    split = still.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    more = _links_between(documents, still.join(materialize(split, "split-buckets"), "key"), own)
-    if not more.isEmpty():
-        found = materialize(connected_components(links.union(more)), "components")
+    for step in (_likeliest_links, _links_between):
+        still = materialize(_open_members(members, found, own), "open-members")
+        if still.isEmpty():
+            break
+        more = step(documents, still)
+        if not more.isEmpty():
+            links = materialize(links.union(more), "all-links")
+            found = materialize(connected_components(links), "components")
     named = classes.join(found, classes.cid == found.id, "left").select("digest", F.coalesce("component", "cid").alias("component"))
     rows = sketches.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
