@@ -47,6 +47,7 @@ class Island:
         #: No packing has fewer bins.
         self.bound = max(-(-int(self.array.sum()) // capacity), int((self.array * 2 > capacity).sum()))
         self.members: list[tuple[float, Bins]] = []
+        self.crossed = 0
 
     def fitness(self, bins: Bins) -> float:
         fill = [sum(self.sizes[i] for i in b) for b in bins]
@@ -72,6 +73,7 @@ class Island:
 
     def cross(self, one: Bins, two: Bins) -> Bins:
         """Inject well-filled bins of ``two`` into ``one``, drop what holds their items too, and best-fit what that displaces."""
+        self.crossed += 1
         room = np.array([self.capacity - sum(self.sizes[i] for i in b) for b in two])
         full = np.argsort(room, kind="stable")[: max(1, len(two) // 2)]
         chosen = self.draw.permutation(full)[: max(1, int(len(full) * self.draw.uniform(0.3, 0.9)))]

@@ -10,6 +10,7 @@ across shards, so that the loss doesn't grow with their number.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,11 +26,13 @@ from docloom.llm.grouping import Island, decode, encode
 
 #: Pieces of a shard on average: bounds what one task holds.
 SHARD_PIECES = 16_384
-ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 4, 2, 4
+ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2, 6, 3, 6
+#: White space runs from which a text goes to the library: the faster encoder's pattern gives up on some longer ones.
+LONG_SPACE = 50_000
 #: Bins with more of their room left than this share are packed again across shards.
 LOOSE = 0.02
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_STATE = "shard long, island int, place int, fitness double, bins binary"
+_STATE = "shard long, island int, place int, fitness double, crossed long, bins binary"
 _PLACED = "item long, shard long, bin int, offset long, room long"
 
 
@@ -38,7 +41,8 @@ def _encoder(path: str):
     """Ids of a text as ``tokenizers`` gives them for this byte-level BPE file.
 
     The file's own vocabulary is handed to a faster encoder of the same merges;
-    a text that holds one of its special strings goes to the library itself.
+    a text that holds one of its special strings, or a very long run of white
+    space, goes to the library itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -58,8 +62,10 @@ def _encoder(path: str):
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("of the file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    spaces = re.compile(r"\s{%d}" % LONG_SPACE)
+
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) >= LONG_SPACE and spaces.search(text)):
             return np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
@@ -101,7 +107,7 @@ def _ordered(pieces: pd.DataFrame) -> pd.DataFrame:
 
 def _population(island: Island, shard: int, number: int) -> pd.DataFrame:
     n = len(island.sizes)
-    return pd.DataFrame([(shard, number, k, s, encode(b, n)) for k, (s, b) in enumerate(island.members)], columns=["shard", "island", "place", "fitness", "bins"])
+    return pd.DataFrame([(shard, number, k, s, island.crossed, encode(b, n)) for k, (s, b) in enumerate(island.members)], columns=["shard", "island", "place", "fitness", "crossed", "bins"])
 
 
 def _evolve(limit: int, epoch: int):
@@ -116,6 +122,7 @@ def _evolve(limit: int, epoch: int):
 
     def again(key, pieces: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         island = Island(_ordered(pieces)["length"].to_numpy(), limit, seed(*map(int, key)), POPULATION)
+        island.crossed = int(members["crossed"].max())
         for data in members.sort_values(["fitness", "place"], ascending=[False, True])["bins"]:
             island.add(decode(data))
         island.evolve(GENERATIONS)
@@ -139,9 +146,12 @@ def _place(limit: int):
     return run
 
 
-def _pack(items: DataFrame, count: int, limit: int, level: int) -> DataFrame:
-    """``(item, shard, bin, offset, room)`` of each item: islands, migration of elites, the best individual of each shard."""
-    shards = max(1, round(count / SHARD_PIECES))
+def _shards(count: int) -> int:
+    return max(1, round(count / SHARD_PIECES))
+
+
+def _evolved(items: DataFrame, shards: int, limit: int, level: int) -> tuple[DataFrame, DataFrame]:
+    """The items with their shards, and the last populations of all islands: epochs apart, each island's elite moves on to the next of its ring."""
     dealt = items.select("item", "length", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)).alias("shard"))
     on_islands = dealt.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
     state = on_islands.groupBy("shard", "island").applyInPandas(_evolve(limit, 0), _STATE)
@@ -150,6 +160,12 @@ def _pack(items: DataFrame, count: int, limit: int, level: int) -> DataFrame:
         to = F.when(F.col("place") == 0, F.array(F.col("island"), (F.col("island") + 1) % ISLANDS)).otherwise(F.array("island"))
         moved = state.withColumn("island", F.explode(F.array_distinct(to)))
         state = on_islands.groupBy("shard", "island").cogroup(moved.groupBy("shard", "island")).applyInPandas(_evolve(limit, epoch), _STATE)
+    return dealt, state
+
+
+def _pack(items: DataFrame, count: int, limit: int, level: int) -> DataFrame:
+    """``(item, shard, bin, offset, room)`` of each item: islands, migration of elites, the best individual of each shard."""
+    dealt, state = _evolved(items, _shards(count), limit, level)
     best = state.where("place = 0").groupBy("shard").agg(F.max_by("bins", F.struct("fitness", -F.col("island"))).alias("bins"))
     return materialize(dealt.groupBy("shard").cogroup(best.groupBy("shard")).applyInPandas(_place(limit), _PLACED), "placed")
 
@@ -172,7 +188,7 @@ def pack(pieces: DataFrame, limit: int = 2048) -> DataFrame:
         return df.select("item", (F.lit(level << 61) + F.shiftleft("shard", 28) + F.col("bin")).alias("sequence_id"), "offset")
 
     placed = _pack(items, count, limit, 0)
-    if count > 1.5 * SHARD_PIECES:
+    if _shards(count) > 1:
         tight = F.col("room") <= int(LOOSE * limit)
         loose = placed.where(~tight).join(items, "item").select("item", "length")
         left = loose.count()

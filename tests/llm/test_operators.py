@@ -140,6 +140,36 @@ def test_grouping_keeps_every_item_once():
     assert len(island.members[0][1]) <= first
 
 
+def hard_sizes(bins, capacity, seed):
+    """Three items fill each bin exactly; best-fit misses that."""
+    draw, out = np.random.default_rng(seed), []
+    for _ in range(bins):
+        a = int(draw.integers(capacity * 38 // 100, capacity * 49 // 100))
+        b = int(draw.integers((capacity - a) // 3, (capacity - a) // 2))
+        out += [a, b, capacity - a - b]
+    return out
+
+
+def test_evolution_beats_best_fit(spark):
+    sizes = hard_sizes(200, 2048, 0)
+    alone = len(grouping.best_fit(list(range(600)), sorted(sizes, reverse=True), 2048, []))
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    _, state = packing._evolved(items, 1, 2048, 0)
+    rows = state.collect()
+    assert {r["island"] for r in rows} == {0, 1} and all(r["crossed"] == packing.EPOCHS * packing.GENERATIONS * (packing.POPULATION // 2) for r in rows)
+    out = packing.pack(items.withColumnRenamed("item", "doc_id"), 2048).collect()
+    assert sorted(r["length"] for r in out) == sorted(sizes) and 200 <= len({r["sequence_id"] for r in out}) < alone
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \t\u3000", "  \n", "a"])
+def test_ids_of_very_long_runs(unit):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "start" + unit * (2_000_000 // len(unit) if unit != "a" else 60_000) + "end"
+    assert packing._encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 # 2 nearest
 
 
