@@ -2,10 +2,10 @@
 
 Base patterns always give spans.  Besides, generators with a high recall
 propose further spans (separated or disguised writings of the same kinds);
-boosted trees score them by their format and by the words before them, and a
-threshold for each kind, calibrated on rows kept from the fit, selects.  Trees
-are fitted on the driver from a bounded set of invented sentences and applied
-as SQL, so that the executors run no Python.
+boosted trees score them by their format and by the words around them, and a
+threshold for each kind, calibrated on sentences of other templates than those
+of the fit, selects.  Trees are fitted on the driver from a bounded set of
+invented sentences and applied as SQL, so that the executors run no Python.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.boosting import BoostedTrees
 from docloom.llm.common import table
-from docloom.llm.spans import listed, redacted, with_matches
+from docloom.llm.spans import best_of_overlapping, listed, redacted, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -62,14 +62,15 @@ GENERATORS = {
 }
 
 _WORDS = {
-    "near_phone": r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|ring|dial)\b",
-    "near_mail": r"(?i)\b(?:e-?mail|mail|write|contact|reach|address)\b",
-    "near_card": r"(?i)\b(?:card|visa|credit|debit|cc|payment|charge)\b",
-    "near_ip": r"(?i)\b(?:ip|host|server|login|client|ping|from)\b",
-    "near_other": r"(?i)(?:\b(?:version|order|invoice|isbn|page|pages|figure|table|date|dated|section|ref|part|serial|item|row|score|between|price|total|step|id)\b|[#$€£])",
+    "near_phone": r"(?i)\b(?:tel|phone|call|fax|mobile|cell|whatsapp|ring|dial|number|hotline|sms)\b",
+    "near_mail": r"(?i)\b(?:e-?mail|mail|mailbox|inbox|write|contact|reach|address)\b",
+    "near_card": r"(?i)\b(?:card|visa|credit|debit|cc|payment|charged?|mastercard|amex)\b",
+    "near_ip": r"(?i)\b(?:ip|host|server|login|client|ping|from|gateway|node|address)\b",
+    "near_other": r"(?i)(?:\b(?:version|order|invoice|isbn|page|pages|figure|table|date|dated|section|ref|part|serial|item|row|score|between|price|total|step|id|tracking|sku|lot|model|chapter|ratio|catalogue|batch|build)\b|[#$€£])",
 }
 _C = "c.match"
-_CONTEXT = "right(c.before, 32)"
+#: Words beside a candidate that are looked at: so many characters before and after it.
+_CONTEXT, _AFTER = "right(c.before, 32)", "left(c.after, 24)"
 FEATURES = {
     "kind_no": None,
     "length": f"length({_C})",
@@ -86,16 +87,17 @@ FEATURES = {
     "last": rf"length(regexp_extract({_C}, r'([0-9]+)[^0-9]*$', 1))",
     "zero": rf"cast({_C} rlike r'^\(?0' as int)",
 } | {k: f"cast({_CONTEXT} rlike r'{v}' as int)" for k, v in _WORDS.items()}
+FEATURES |= {f"after_{k}": f"cast({_AFTER} rlike r'{v}' as int)" for k, v in _WORDS.items()}
 
-#: Rows of the fit, fixed whatever the corpus; half as many again calibrate the thresholds.
-FIT_ROWS = 3000
+#: Rows of the fit, and of the calibration, fixed whatever the corpus.
+FIT_ROWS, CALIBRATION_ROWS = 3000, 3000
 #: Share of right spans that a threshold must reach on the calibration rows.
 PRECISION = 0.98
 _fitted: dict[int, tuple[BoostedTrees, dict[str, float]]] = {}
 
 
-def _invented(rows: int, seed: int) -> list[dict]:
-    """Sentences with one thing that a generator proposes, and whether it is personal data."""
+def _invented(rows: int, seed: int, other: bool = False) -> list[dict]:
+    """Sentences with one thing that a generator proposes, and whether it is personal data; ``other`` takes the calibration's templates."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
@@ -108,34 +110,43 @@ def _invented(rows: int, seed: int) -> list[dict]:
         number = body + str(check if ok else (check + r.randint(1, 9)) % 10)
         return r.choice([".", "_", "/", " - ", "--"]).join(number[k : k + 4] for k in range(0, 16, 4))
 
+    def told(about: str, thing: str, label: int, cues: list[str]) -> tuple[str, int]:
+        """The cue stands before the thing, after it, or not at all."""
+        cue, k = r.choice(cues), r.random()
+        if other:  # the calibration's sentences: other cues, more of them behind, some lacking, some of another kind's
+            cue = r.choice(_OTHER_CUES[about, label]) if k < 0.9 else r.choice(sum(_OTHER_CUES.values(), []))
+            k = r.random()
+            return (f"{cue.capitalize()} {word()}: {thing}" if k < 0.3 else f"{cue} {thing}" if k < 0.6 else f"{thing} ({cue})" if k < 0.85 else f"{filler()} {thing}"), label
+        return (f"{cue} {thing}" if k < 0.6 else f"{thing}, {cue}" if k < 0.75 else f"{filler()} {thing}"), label
+
     def one() -> tuple[str, int]:
         k = r.randrange(16)
         at, dot = r.choice([("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), (" at ", " dot "), (" @ ", "."), ("(at)", ".")])
         octets = [str(r.randint(0, 255)) for _ in range(4)]
         if k < 3:
-            return f"{r.choice(['mail', 'contact', 'write to', 'reach me:', 'e-mail', filler()])} {word()}.{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}", 1
+            return told("email", f"{word()}.{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}", 1, ["mail", "contact", "write to", "reach me:", "e-mail", "my address"])
         if k < 5:
             return f"{filler()} {word()} at {word()}.{word()}", 0
         if k == 5:
-            return f"{r.choice(['host', 'server', 'ip', filler()])} {r.choice(['[.]', '(.)', ' dot '])}".rsplit(" ", 1)[0] + " " + r.choice(["[.]", "(.)", " dot "]).join(octets), 1
+            return told("ip", r.choice(["[.]", "(.)", " dot ", " . "]).join(octets), 1, ["host", "server", "ip", "login from"])
         if k == 6:
-            return f"{r.choice(['ip', 'host', filler()])} {':'.join(format(r.randint(0, 65535), 'x') for _ in range(8))}", 1
+            return told("ip", ":".join(format(r.randint(0, 65535), "x") for _ in range(8)), 1, ["ip", "host", "client"])
         if k == 7:
-            return f"{r.choice(['score', 'row', filler()])} {' . '.join(digits(3) for _ in range(4))}", 0
+            return told("ip", " . ".join(digits(r.randint(1, 3)) for _ in range(4)), 0, ["score", "row", "step", "figure"])
         if k == 8:
-            return f"{r.choice(['card', 'visa', 'credit card', 'payment with', filler()])} {luhn(True)}", 1
+            return told("card", luhn(True), 1, ["card", "visa", "credit card", "payment with"])
         if k == 9:
-            return f"{r.choice(['order', 'serial', 'part', 'ref', filler()])} {luhn(False)}", 0
+            return told("card", luhn(False), 0, ["order", "serial", "part", "ref"])
         if k in (10, 11):
             number = r.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(3)} {digits(6)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)}/{digits(7)}", f"0{digits(1)}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(3)}"])
-            return f"{r.choice(['call', 'tel', 'phone', 'my mobile', 'fax', 'dial'])} {r.choice(['', ': ', 'is '])}{number}", 1
+            return told("phone", number, 1, ["call", "tel", "phone:", "my mobile is", "fax", "dial"])
         if k == 12:
-            return f"{r.choice(['dated', 'date', 'on', filler()])} {r.choice(['19', '20'])}{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{digits(4)}", 0
+            return told("phone", f"{r.choice(['19', '20'])}{digits(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}-{digits(4)}", 0, ["dated", "date", "section"])
         if k == 13:
-            return f"{r.choice(['order', 'invoice', 'isbn', 'ref', 'item', 'id', 'total', 'version'])} {digits(3)}-{digits(r.randint(2, 5))}-{digits(r.randint(3, 6))}", 0
+            return told("phone", f"{digits(3)}-{digits(r.randint(2, 5))}-{digits(r.randint(3, 6))}", 0, ["order", "invoice", "isbn", "ref", "item", "id", "total", "version"])
         if k == 14:
             return f"{filler()} {digits(r.randint(2, 5))} {digits(r.randint(2, 5))} {digits(r.randint(3, 8))}", 0
-        return f"{r.choice(['pages', 'between', 'price', filler()])} {digits(3)}-{digits(r.randint(3, 4))}", 0
+        return told("phone", f"{digits(3)}-{digits(r.randint(3, 4))}", 0, ["pages", "between", "price"])
 
     out = []
     for k in range(rows):
@@ -144,8 +155,16 @@ def _invented(rows: int, seed: int) -> list[dict]:
     return out
 
 
+#: Cues of the sentences that calibrate the thresholds, by kind and by whether the thing is personal data.
+_OTHER_CUES = {
+    ("email", 1): ["inbox", "mailbox", "please answer to"], ("ip", 1): ["gateway", "ping", "node", "seen at"], ("ip", 0): ["table", "chapter", "ratio"],
+    ("card", 1): ["mastercard", "charged to", "debit"], ("card", 0): ["tracking", "batch", "invoice"], ("phone", 1): ["ring", "hotline", "whatsapp", "number", "sms to"],
+    ("phone", 0): ["sku", "lot", "model", "catalogue", "build", "page"],
+}
+
+
 def _candidates(df: DataFrame, text: str) -> DataFrame:
-    """Add ``__cand``: what the generators propose, with features, without matches of more than 128 characters, which no generator's kind has."""
+    """Add ``__cand``: what the generators propose, with features."""
     df = with_matches(df, text, {g: p for g, (_, p) in GENERATORS.items()}, gaps=tuple(GENERATORS))
     for g, (kind, _) in GENERATORS.items():
         fields = ", ".join(f"'{f}', cast({KINDS.index(kind) if v is None else v} as double)" for f, v in FEATURES.items())
@@ -156,30 +175,33 @@ def _candidates(df: DataFrame, text: str) -> DataFrame:
 def fitted(spark: SparkSession, seed: int = 11) -> tuple[BoostedTrees, dict[str, float]]:
     """Trees, and each kind's threshold: the least one whose selection on the calibration rows is right often enough."""
     if seed not in _fitted:
-        rows = _invented(FIT_ROWS * 3 // 2, seed)
+        rows = _invented(FIT_ROWS, seed) + [r | {"k": r["k"] + FIT_ROWS} for r in _invented(CALIBRATION_ROWS, seed + 1, other=True)]
         given = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<k int, text string, label int>>")).alias("r")).select("r.*")
-        got = _candidates(given, "text").select("k", "label", F.explode("__cand").alias("c")).select("k", "label", "c.kind", *(F.col(f"c.{f}") .alias(f"f_{f}") for f in FEATURES)).orderBy("k", "kind", "f_length").collect()
+        got = _candidates(given, "text").select("k", "label", F.explode("__cand").alias("c")).select("k", "label", "c.kind", *(F.col(f"c.{f}").alias(f"f_{f}") for f in FEATURES)).orderBy("k", "kind", "f_length").collect()
         x = np.array([[g[f"f_{f}"] for f in FEATURES] for g in got])
         y, k = np.array([g["label"] for g in got], float), np.array([g["k"] for g in got])
         model = BoostedTrees().fit(x[k < FIT_ROWS], y[k < FIT_ROWS])
         p, own, right = model.predict(x[k >= FIT_ROWS]), x[k >= FIT_ROWS, 0], y[k >= FIT_ROWS]
-        limits = {}
-        for n, kind in enumerate(KINDS):
-            order = np.argsort(-p[own == n])
-            share = np.cumsum(right[own == n][order]) / (np.arange(len(order)) + 1)
-            good = np.flatnonzero(share >= PRECISION)
-            limits[kind] = max(0.5, float(p[own == n][order][good[-1]])) if len(good) else 1.1
-        _fitted[seed] = model, limits
+        _fitted[seed] = model, {kind: threshold(p[own == n], right[own == n]) for n, kind in enumerate(KINDS)}
     return _fitted[seed]
 
 
+def threshold(scores: np.ndarray, right: np.ndarray) -> float:
+    """The least score from which PRECISION of the rows are right; above every score where there is none."""
+    order = np.argsort(-scores, kind="stable")
+    share = np.cumsum(right[order]) / (np.arange(len(order)) + 1)
+    last = np.append(scores[order][1:] < scores[order][:-1], True)[: len(order)]  # of equal scores all are taken, or none
+    good = np.flatnonzero((share >= PRECISION) & last)
+    return float(scores[order][good[-1]]) if len(good) else 1.1
+
+
 def pii_spans(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``base_spans`` and ``spans``: arrays of ``(start, ord, kind, end)`` in code points, ``spans`` with the selected candidates too.
 
     Each row is handled alone, so repeated rows, ties and null ids need no
-    rule.  A null text counts as empty and has no spans.  A candidate that
-    meets a span of the base patterns beside it, or a neighbour with a higher
-    score, is left out.  Columns named like the added ones are replaced.
+    rule.  A null text counts as empty and has no spans.  Selected candidates
+    are taken from the highest score down (ties by start), and one that
+    overlaps a base span or a candidate taken before is left out.  Columns named like the added ones are replaced.
     """
     model, limits = fitted(documents.sparkSession)
     df = documents.drop("base_spans", "spans", *KINDS).withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
@@ -194,8 +216,8 @@ def pii_spans(documents: DataFrame, text_col: str = "text") -> DataFrame:
     limit = "case c.kind " + " ".join(f"when '{k}' then {limits[k]!r}D" for k in KINDS) + " end"
     df = df.withColumn("__scored", F.expr(f"filter(transform(__cand, c -> named_struct('start', c.start, 'ord', {order}, 'kind', c.kind, 'end', c.end, 'score', {score}, 'limit', {limit})), c -> c.score >= c.limit)"))
     df = df.withColumn("__all", F.expr("array_sort(concat(transform(base_spans, s -> named_struct('start', s.start, 'ord', s.ord, 'kind', s.kind, 'end', s.end, 'score', 2D, 'limit', 0D)), __scored))"))
-    beaten = " or ".join(f"({at} and __all[i {d}].start < s.end and __all[i {d}].end > s.start and (__all[i {d}].score > s.score{tie}))" for at, d, tie in (("i > 0", "- 1", " or __all[i - 1].score = s.score"), ("i < size(__all) - 1", "+ 1", "")))
-    df = df.withColumn("spans", F.when(F.size("__scored") == 0, F.col("base_spans")).otherwise(F.expr(f"transform(filter(__all, (s, i) -> s.score = 2D or not ({beaten})), s -> named_struct('start', s.start, 'ord', s.ord, 'kind', s.kind, 'end', s.end))")))
+    chosen = f"array_sort(transform({best_of_overlapping('__all')}, s -> named_struct('start', s.start, 'ord', s.ord, 'kind', s.kind, 'end', s.end)))"
+    df = df.withColumn("spans", F.when(F.size("__scored") == 0, F.col("base_spans")).otherwise(F.expr(chosen)))
     return df.drop("__cand", "__scored", "__all")
 
 

@@ -28,11 +28,11 @@ def running(values: str, how: str = "sum") -> str:
 
 
 def with_matches(df: DataFrame, text: str, patterns: dict[str, str], groups: dict[str, int] | None = None, gaps: tuple[str, ...] = ()) -> DataFrame:
-    """Add, for each name and pattern, an array ``name`` of ``(start, end, match, group, before)``.
+    """Add, for each name and pattern, an array ``name`` of ``(start, end, match, group, before, after)``.
 
     ``text`` is a column without nulls.  start and end are code points, end
     exclusive.  ``group`` is that of the number in ``groups``, or null;
-    ``before`` is the text since the match before for names in ``gaps``, else null.
+    ``before`` is the text since the match before and ``after`` that to the next one for names in ``gaps``, else null.
     Each pattern must match at least one character.
     """
     empty, groups = F.array().cast("array<string>"), groups or {}
@@ -54,13 +54,29 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, str], groups: dic
         *(
             F.expr(
                 f"transform(__m_{k}, (m, i) -> named_struct('start', __b_{k}[i] + length(__g_{k}[i]), 'end', __b_{k}[i] + length(__g_{k}[i]) + length(m), 'match', m, "
-                f"'group', {f'__v_{k}[i]' if k in groups else 'cast(null as string)'}, 'before', {f'__g_{k}[i]' if k in gaps else 'cast(null as string)'}))"
+                f"'group', {f'__v_{k}[i]' if k in groups else 'cast(null as string)'}, 'before', {f'__g_{k}[i]' if k in gaps else 'cast(null as string)'}, 'after', {f'__g_{k}[i + 1]' if k in gaps else 'cast(null as string)'}))"
             ).alias(k)
             for k in patterns
         ),
     )
 
 
+def best_of_overlapping(spans: str) -> str:
+    """SQL for the spans of an array sorted by start, of structs with ``start``, ``end`` and ``score``, that no better chosen one overlaps.
+
+    Spans of score 2 always stay.  The others are taken from the highest score
+    down (ties by start) if they meet none that is taken already.  Only spans
+    that are linked by overlaps are compared, so that many far apart cost
+    nothing.
+    """
+    ends = running(f"transform({spans}, s -> cast(s.end as bigint))", "max")
+    starts = f"transform(array({ends}), e -> filter(sequence(0, size({spans}) - 1), i -> {spans}[i].start >= e[i]))[0]"
+    groups = f"transform(array({starts}), p -> transform(p, (b, k) -> slice({spans}, b + 1, if(k + 1 < size(p), p[k + 1], size({spans})) - b)))[0]"
+    better = "(x, y) -> case when x.score > y.score then -1 when x.score < y.score then 1 when x.start < y.start then -1 when x.start > y.start then 1 else 0 end"
+    chosen = f"aggregate(array_sort(g, {better}), slice(g, 1, 0), (t, c) -> if(c.score = 2D or not exists(t, a -> a.start < c.end and a.end > c.start), concat(t, array(c)), t))"
+    return f"if(size({spans}) = 0, {spans}, flatten(transform({groups}, g -> if(size(g) = 1, g, {chosen}))))"
+
+
 def listed(spans: str) -> str:
     """SQL that joins an array of structs ``(start, ord, kind, end)`` in that order as ``kind:start:end,...``."""
     return f"array_join(transform(array_sort({spans}), s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
