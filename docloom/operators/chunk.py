@@ -29,11 +29,17 @@ def chunk_texts(documents: DataFrame, text: str = "text", key: str = "doc_id") -
 
     One pass over the texts; only those without structure have anything for the Arrow function that splits recursively.
     """
-    parsed = documents.select(key, F.expr(E.parse_text(text)).alias("els")).withColumn("found", F.expr(E.detect_text("els")))
-    strategy = F.col("found.strategy")
+    return chunk_elements(documents.select(key, F.expr(E.parse_text(text)).alias("els")), key)
+
+
+def chunk_elements(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Detect and chunk arrays of elements ``(key, els)``, as :func:`chunk_texts` does; bold titles count where there are no headings."""
+    parsed = parsed.withColumn("found", F.expr(E.detect_text("els")))
+    bold = F.expr("size(filter(els, e -> e.type = 'bold_title')) >= 2")
+    strategy = F.when((F.col("found.strategy") != "heading_based") & bold, "bold_title_based").otherwise(F.col("found.strategy"))
     content = lambda e: F.transform(F.expr(e), lambda c: c["content"])
     joined = F.array_join(F.expr("transform(filter(els, e -> e.type <> 'blank' and e.content <> ''), e -> e.content)"), "\n\n")
-    native = F.when(strategy == "heading_based", content(E.heading_chunks("els"))).when(strategy == "blank_line_based", content(E.blank_line_chunks("els")))
+    native = F.when(strategy == "heading_based", content(E.heading_chunks("els"))).when(strategy == "bold_title_based", content(E.heading_chunks("els", "bold_title"))).when(strategy == "blank_line_based", content(E.blank_line_chunks("els")))
     split = parsed.select(key, strategy.alias("strategy"), native.alias("native"), F.when(strategy == "recursive_fallback", joined).alias("joined"))
     split = split.withColumn("parts", recursive_chunks("joined"))
     rows = numbered(split, F.coalesce("native", "parts"), key, "strategy", name="content")

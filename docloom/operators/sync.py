@@ -11,20 +11,24 @@ def file_actions(incoming: DataFrame, stored: DataFrame) -> DataFrame:
 
     A stored source with the same hash is skipped, one with another hash
     updated; a new source whose hash is stored, or that an earlier new source
-    brought, is skipped as a duplicate.  Hashes meet in a semi join, and the
-    first of equal new hashes is found by a window over new sources alone.
+    brought, is skipped as a duplicate.  The first of equal new hashes is a
+    pre-aggregated minimum that joins back, so that content that very many
+    sources share is no task of its own.  Of sources that share ``seq`` too, the
+    smallest id is the first.
     """
     known = stored.select("source_id", F.col("content_hash").alias("__stored"))
     hashes = stored.select("content_hash").distinct().withColumn("__seen", F.lit(True))
     joined = incoming.join(known, "source_id", "left").join(hashes, "content_hash", "left")
     fresh = F.col("__stored").isNull() & F.col("__seen").isNull()
-    rank = F.row_number().over(Window.partitionBy("content_hash", fresh).orderBy("seq"))
+    first = joined.where(fresh).groupBy("content_hash").agg(F.min(F.struct("seq", "source_id")).alias("__first"))
+    joined = joined.join(first, "content_hash", "left")
+    repeated = fresh & (F.struct("seq", "source_id") != F.col("__first"))
     action = (
         F.when(F.col("__stored") == F.col("content_hash"), "skipped").when(F.col("__stored").isNotNull(), "update")
-        .when(F.col("__seen"), "skipped").when(rank > 1, "skipped").otherwise("create")
+        .when(F.col("__seen"), "skipped").when(repeated, "skipped").otherwise("create")
     )
-    reason = F.when(F.col("__stored") == F.col("content_hash"), "unchanged").when(F.col("__stored").isNull() & (F.col("__seen") | (rank > 1)), "duplicate_content")
-    return joined.withColumns({"action": action, "reason": reason}).drop("__stored", "__seen")
+    reason = F.when(F.col("__stored") == F.col("content_hash"), "unchanged").when(F.col("__stored").isNull() & (F.coalesce("__seen", F.lit(False)) | repeated), "duplicate_content")
+    return joined.withColumns({"action": action, "reason": reason}).drop("__stored", "__seen", "__first")
 
 
 def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:

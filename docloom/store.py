@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 class Store:
     """Named tables below one folder of any file system that Spark reads.
 
-    A reader sees the old or the new version of a table, never a mixture.
+    A reader sees the old or the new version of a table, never a mixture, and
+    a crash at any moment leaves one of both.
     Two writers of one table must take turns.
     """
 
@@ -23,14 +24,17 @@ class Store:
     def _files(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
+    def _pointers(self, name: str) -> list[str]:
+        """Names of the pointer files, the last flip first; one that a crash left half written has another name."""
+        folder = self._path(f"{self.root}/{name}")
+        if not self._files().exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._files().listStatus(folder)]
+        return sorted((n for n in names if n.startswith("current-")), reverse=True)
 
     def version(self, name: str) -> str | None:
-        pointer = self._path(self._pointer(name))
-        if not self._files().exists(pointer):
-            return None
-        return self.spark.read.text(self._pointer(name)).first()[0]
+        pointers = self._pointers(name)
+        return self.spark.read.text(f"{self.root}/{name}/{pointers[0]}").first()[0] if pointers else None
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         """The current version, or an empty table of the given schema where there is none."""
@@ -42,14 +46,16 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def write(self, name: str, df: DataFrame) -> str:
+        """Write a version and flip to it: a new pointer of the next number appears by a rename, and only then do older ones go."""
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        files, temporary = self._files(), self._path(f"{self.root}/{name}/next-{version}")
+        files, temporary, older = self._files(), self._path(f"{self.root}/{name}/next-{version}"), self._pointers(name)
         out = files.create(temporary, True)
         out.write(bytearray(version.encode()))
         out.close()
-        pointer = self._path(self._pointer(name))
-        files.delete(pointer, False)
-        if not files.rename(temporary, pointer):
-            raise OSError(f"could not flip {pointer}")
+        number = int(older[0].split("-")[1]) + 1 if older else 0
+        if not files.rename(temporary, self._path(f"{self.root}/{name}/current-{number:012d}")):
+            raise OSError(f"could not flip {name} to {version}")
+        for old in older[1:]:  # the last one stays for those who have just listed it
+            files.delete(self._path(f"{self.root}/{name}/{old}"), False)
         return version

@@ -12,7 +12,7 @@ from docloom.functions import elements as E
 from docloom.functions import enrich, mail, markup, packing, sheets
 from docloom.functions import text as T
 from docloom.operators import chunk, retrieve, sync, threads
-from docloom.plans.ingest import ingest_texts, mail_chunks
+from docloom.plans.ingest import ingest_files, ingest_mail, ingest_texts, mail_chunks
 from docloom.providers import HashedWords, classify_sheets, embed_texts, embedding, extract_metadata, parse_classification, parse_json_keys, question_rows, with_row_groups
 from docloom.sources import office
 from docloom.store import Store
@@ -180,6 +180,59 @@ def test_store_and_ingest_is_idempotent(spark, tmp_path):
     assert [r["content"] for r in store.read("chunks").collect()] == ["changed"] and store.read("documents").count() == 1
 
 
+def test_store_survives_a_crash_between_pointers(spark, tmp_path, monkeypatch):
+    store, one = Store(spark, str(tmp_path / "store")), lambda k: spark.range(k).coalesce(1)
+    store.write("t", one(1))
+    (tmp_path / "store" / "t" / "next-v-left-by-a-crash").write_text("v-lo")
+    first = store.version("t")
+
+    class Dying:
+        def __init__(self, files):
+            self.files = files
+
+        def __getattr__(self, name):
+            return getattr(self.files, name)
+
+        def rename(self, a, b):
+            raise OSError("died")
+
+    monkeypatch.setattr(store, "_files", lambda files=store._files(): Dying(files))
+    with pytest.raises(OSError):
+        store.write("t", one(2))
+    monkeypatch.undo()
+    assert store.version("t") == first and store.read("t").count() == 1
+    for k in (3, 4, 5):
+        store.write("t", one(k))
+        assert store.read("t").count() == k
+    assert len(store._pointers("t")) == 2
+
+
+def test_ingest_of_files_and_mail(spark, tmp_path):
+    p = lambda text, style="": f'<w:p><w:pPr><w:pStyle w:val="{style}"/></w:pPr><w:r><w:t>{text}</w:t></w:r></w:p>'
+    folder, store = tmp_path / "in", Store(spark, str(tmp_path / "store"))
+    folder.mkdir()
+    (folder / "a.docx").write_bytes(archive(**{"word__document.xml": f"<w:document {W}><w:body>{p('One', 'Heading1')}{p('x TECH-1')}{p('Two', 'Heading1')}{p('y')}</w:body></w:document>"}))
+    (folder / "b.pptx").write_bytes(archive(**{"ppt__slides__slide1.xml": f'<p {W}><sp>{p("first")}</sp></p>', "ppt__slides__slide2.xml": f'<p {W}><sp>{p("second")}</sp></p>'}))
+    (folder / "c.txt").write_text("plain text")
+    (folder / "d.bin").write_bytes(b"\x00")
+    (folder / "e.docx").write_bytes(b"no archive")
+    files = lambda: office.list_files(spark, str(folder))
+    log = {r["source_id"][-6:]: (r["action"], r["status"], r["reason"], r["chunks_stored"]) for r in ingest_files(store, files(), provider=HashedWords(8)).collect()}
+    assert log == {"a.docx": ("create", "success", None, 2), "b.pptx": ("create", "success", None, 2), "/c.txt": ("create", "success", None, 1), "/d.bin": ("create", "error", "unsupported", 0), "e.docx": ("create", "error", None, 0)}
+    chunks = store.read("chunks").collect()
+    assert sorted((r["source_id"][-6:], r["chunk_index"]) for r in chunks) == [("/c.txt", 0), ("a.docx", 0), ("a.docx", 1), ("b.pptx", 0), ("b.pptx", 1)] and all(len(r["embedding"]) == 8 for r in chunks)
+    assert [r["ticket_ids"] for r in chunks if "TECH" in r["content"]] == [["TECH-1"]]
+    (folder / "a.docx").unlink()
+    again = {r["action"] for r in ingest_files(store, files(), listing_is_complete=True).collect()}
+    assert again == {"skipped"} and not [r for r in store.read("chunks").collect() if "a.docx" in r["source_id"]]
+    mail = lambda labels, body: spark.createDataFrame([(7, "S", "A <a+ann@x>", ["t+bob@x"], "2025", labels, body)], "thread_id long, subject string, sender string, recipients array<string>, date string, labels array<string>, body string")
+    assert [(r["action"], r["status"], r["chunks_stored"]) for r in ingest_mail(store, mail(["l"], "hi TECH-2"), ["a", "bob"]).collect()] == [("create", "success", 1)]
+    assert [(r["action"], r["status"]) for r in ingest_mail(store, mail(["l"], "hi TECH-2")).collect()] == [("skipped", "skipped")]
+    assert [(r["action"], r["status"]) for r in ingest_mail(store, mail(["m"], "hi TECH-2")).collect()] == [("metadata_updated", "metadata_updated")]
+    assert [(r["people"], r["ticket_ids"]) for r in store.read("chunks").where("source_id = '7'").collect()] == [(["A", "Bob"], ["TECH-2"])]
+    assert store.read("documents").where("source_id = '7'").first()["labels"] == ["m"] and store.read("documents").where("ingested_at is null").isEmpty()
+
+
 def test_stream_merges_each_batch_once(spark, tmp_path):
     from datetime import datetime
 
