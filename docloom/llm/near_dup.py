@@ -75,7 +75,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 #: Ids of a block, and documents that meet one block in one task, when pairs are confirmed in the last round.
 BLOCK_IDS = 256
 #: Members of a bucket's block: two blocks meet in one task.
-BUCKET_BLOCK = 512
+BUCKET_BLOCK = 384
 #: Candidates up to which a document's are confirmed pair by pair in the last round.
 FEW = 8
 _OPEN = "a long, block int, bs array<long>, comps array<long>"
