@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` written and read back like ``materialize``, for as long as the block lasts: what leaves the block must be written by then."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def for_lookup(keys: DataFrame) -> DataFrame:
     """A written table of keys, marked for broadcast where its size allows it."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -9,23 +9,26 @@ last, where it does so yet, all pairs between them.  What is known of a bucket
 (size, first member, components) is aggregated before the shuffle and joined to
 its members; a large bucket is cut into blocks, and pairs of blocks meet.
 Signatures drop clear misses; all other candidates are confirmed on full sets,
-those of the last round block by block.  So no task holds a bucket, and no
-step has a row for each pair of a large group.
+those of the last round block by block, and no pair that an earlier round
+confirmed or refused is asked again.  So no task holds a bucket, and no step has
+a row for each pair of a large group.  Signatures and full sets are kept only
+until the step that needs them is written.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bitmap import Bitmap
-from docloom.llm.common import for_lookup, materialize, small_batches, table
+from docloom.llm.common import for_lookup, materialize, small_batches, table, temporary
 from docloom.llm.components import connected_components
 from docloom.llm.vectortext import CirculantMinHash, mix, shingle_sets
 
@@ -160,20 +163,14 @@ def _most_alike(groups: Iterator[_Group]) -> pa.RecordBatch:
 
 
 def _crossing(blocks: int):
-    """For each member the plausible partners, a row for each block of theirs.
-
-    Rows with a null ``a`` list the ids that any pair has, so that no later
-    step needs a row for each pair.
-    """
+    """For each member the plausible partners, a row for each block of theirs."""
 
     def handle(groups: Iterator[_Group]) -> pa.RecordBatch:
-        out, used = [], []
+        out = []
         for g in groups:
             for k, near, _ in g.plausible():
-                used += [g.ids[k : k + 1], g.ids[near]]
                 at = g.ids[near] % blocks
                 out += [(int(g.ids[k]), int(block), g.ids[near[at == block]], g.comp[near[at == block]]) for block in np.unique(at)]
-        out.append((None, -1, np.unique(np.concatenate(used)) if used else np.zeros(0, np.int64), []))
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate(kinds)], ["a", "block", "bs", "comps"])
 
@@ -232,7 +229,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(id, shingles)`` of the documents whose id may be in ``ids``: the texts are read again, and no set of any other is kept."""
+    """``(id, shingles)`` of the documents whose id may be in ``ids``: the texts are read again, and no set of any other is made."""
     bits = Bitmap.bits_for(ids.count())
     known = Bitmap(ids.select(Bitmap.place("id", bits).alias("place")), bits)
 
@@ -243,7 +240,7 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(mask), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
     given = documents.select(Bitmap.place("doc_id", bits).alias("place"), "doc_id", "text").where("doc_id is not null")
-    return materialize(given.mapInArrow(run, "id long, shingles binary"), "shingle-sets")
+    return given.mapInArrow(run, "id long, shingles binary")
 
 
 def _alike_only(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -256,46 +253,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.mapInArrow(_confirm, "a long, b long")
 
 
-def _links(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Confirmed links among candidate pairs ``(a, b)``."""
-    pairs = materialize(pairs.distinct(), "candidate-pairs")
+def _links(documents: DataFrame, pairs: DataFrame, tested: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links among the candidate pairs ``(a, b)``, a < b, that are not ``tested`` yet, and these pairs."""
+    pairs = pairs.distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    pairs = materialize(pairs, "candidate-pairs")
     if pairs.isEmpty():
-        return pairs
-    sets = _sets_of(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return materialize(_confirmed(pairs, sets).distinct(), "links")
+        return pairs, pairs
+    with temporary(_sets_of(documents, _ends(pairs)), "shingle-sets") as sets:
+        return materialize(_confirmed(pairs, sets).distinct(), "links"), pairs
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _likeliest_links(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """Links of each document in an open bucket to the one most alike in another component."""
+def _likeliest_links(documents: DataFrame, members: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of each document in an open bucket to the one most alike in another component, and the pairs asked."""
     tried = _block_pairs(members).mapInArrow(_by_group(_most_alike), "x long, y long, alike double")
     pairs = tried.groupBy("x").agg(F.max_by("y", F.struct("alike", -F.col("y"))).alias("y"))
-    return _links(documents, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    return _links(documents, pairs.select(*_ordered("x", "y")), tested)
 
 
-def _links_between(documents: DataFrame, members: DataFrame) -> DataFrame:
+def _links_between(documents: DataFrame, members: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between the components that meet in a bucket: at least one for each two that any pair of the bucket links.
 
-    A document with few candidates is confirmed pair by pair.  One with many
-    lies in a dense group: its set goes once to each block of ids that holds a
-    candidate of it, however many those are, and a block that very many
-    documents ask for is laid out several times.
+    A document with few candidates is confirmed pair by pair, but for pairs
+    already tested.  One with many lies in a dense group: its set goes once to
+    each block of ids that holds a candidate of it, however many those are, and
+    a block that very many documents ask for is laid out several times.
     """
     blocks = max(1, -(-members.select("cid").distinct().count() // BLOCK_IDS))
     near = _block_pairs(members).mapInArrow(_by_group(_crossing(blocks)), _OPEN)
-    near = materialize(near, "open-candidates")
-    asked = near.where("a is not null").groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("bs", "comps")))).alias("z"))
+    asked = near.groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("bs", "comps")))).alias("z"))
     asked = asked.select("a", "block", F.col("z.bs").alias("bs"), F.col("z.comps").alias("comps"), F.sum(F.size("z")).over(Window.partitionBy("a")).alias("many"))
     asked = materialize(asked, "open-asked")
-    if asked.isEmpty():
-        return asked.select("a", F.col("a").alias("b"))
-    sets = _sets_of(documents, near.where("a is null").select(F.explode("bs").alias("id")).distinct())
-    few = _confirmed(asked.where(F.col("many") <= FEW).select("a", F.explode("bs").alias("b")), sets)
+    few = asked.where(F.col("many") <= FEW).select("a", F.explode("bs").alias("b"))
+    few = materialize(few.select(*_ordered("a", "b")).distinct().join(tested, ["a", "b"], "left_anti"), "candidate-pairs")
     dense = asked.where(F.col("many") > FEW)
     widths = materialize(dense.groupBy("block").agg(F.ceil(F.count("*") / F.lit(BLOCK_IDS)).alias("width")), "block-widths")
-    to = dense.join(sets.toDF("a", "xa"), "a").join(widths.toDF("block", "w"), "block").withColumn("part", F.pmod(F.xxhash64("a"), F.col("w"))).select("a", "block", "part", "bs", "comps", "xa")
-    held = sets.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int")).join(widths, "block").select("id", "shingles", "block", F.explode(F.expr("sequence(0L, width - 1)")).alias("part"))
-    many = held.groupBy("block", "part").cogroup(to.groupBy("block", "part")).applyInArrow(_confirm_blocks, "a long, b long")
-    return materialize(few.union(many).distinct(), "links")
+    dense = dense.join(widths.toDF("block", "w"), "block").withColumn("part", F.pmod(F.xxhash64("a"), F.col("w"))).select("a", "block", "part", "bs", "comps")
+    wanted = dense.groupBy("block", "part").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select(F.explode("bs").alias("id"))
+    ids = materialize(_ends(few).union(dense.select("a")).union(wanted).distinct(), "open-ids")
+    if ids.isEmpty():
+        return few, few
+    with temporary(_sets_of(documents, ids), "shingle-sets") as sets:
+        to = dense.join(sets.toDF("a", "xa"), "a").select("a", "block", "part", "bs", "comps", "xa")
+        held = sets.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int")).join(widths, "block").select("id", "shingles", "block", F.explode(F.expr("sequence(0L, width - 1)")).alias("part"))
+        many = held.groupBy("block", "part").cogroup(to.groupBy("block", "part")).applyInArrow(_confirm_blocks, "a long, b long")
+        return materialize(_confirmed(few, sets).union(many).distinct(), "links"), few
 
 
 def _bucket_members(classes: DataFrame) -> DataFrame:
@@ -342,28 +353,33 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """
     small_batches(documents.sparkSession)
     documents = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = materialize(documents.mapInArrow(_sketch, _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), *(F.any_value(c).alias(c) for c in ("n", "bands", "sketch")))
-    classes = materialize(classes, "set-classes")
-    members = materialize(_bucket_members(classes), "bucket-members")
-    own = classes.select("cid", "bands", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
-    own = materialize(own, "member-sketches")
+    with ExitStack() as until_classes:
+        sketches = until_classes.enter_context(temporary(documents.mapInArrow(_sketch, _SKETCH), "sketches"))
+        rows = materialize(sketches.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest"), "document-sets")
+        classes = sketches.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), *(F.any_value(c).alias(c) for c in ("n", "bands", "sketch")))
+        with temporary(classes, "set-classes") as classes:
+            until_classes.close()
+            digests = materialize(classes.select("cid", "digest"), "class-digests")
+            members = materialize(_bucket_members(classes), "bucket-members")
+            own = classes.select("cid", "bands", "sketch").join(members.select("cid").distinct(), "cid", "left_semi")
+            own = materialize(own, "member-sketches")
     likely = f"100L * least(n, leader_n) >= {SIMILARITY}L * greatest(n, leader_n)"
     stars = members.where("cid <> leader").where(likely).groupBy(F.col("leader").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("shared"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a"))
     nearest = stars.withColumn("rank", rank).where(F.col("rank") <= NEAREST).select("a", "b")
-    links = _links(documents, _alike_only(nearest, own.select("cid", "sketch")))
+    links, tested = _links(documents, _alike_only(nearest, own.select("cid", "sketch")))
     found = materialize(connected_components(links), "components")
     for step in (_likeliest_links, _links_between):
-        still = materialize(_open_members(members, found, own), "open-members")
-        if still.isEmpty():
-            break
-        more = step(documents, still)
+        with temporary(_open_members(members, found, own), "open-members") as still:
+            if still.isEmpty():
+                break
+            more, pairs = step(documents, still, tested)
+        tested = tested.union(pairs)
         if not more.isEmpty():
             links = materialize(links.union(more), "all-links")
             found = materialize(connected_components(links), "components")
-    named = classes.join(found, classes.cid == found.id, "left").select("digest", F.coalesce("component", "cid").alias("component"))
-    rows = sketches.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest").join(named, "digest", "left")
+    named = digests.join(found, digests.cid == found.id, "left").select("digest", F.coalesce("component", "cid").alias("component"))
+    rows = rows.join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
