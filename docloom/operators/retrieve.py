@@ -83,6 +83,13 @@ def best_question(scores: DataFrame) -> DataFrame:
     return scores.groupBy("chunk_id").agg(F.max("similarity").alias("similarity"))
 
 
+def question_counts(documents: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """``(document_id, n_questions)`` of all documents, from chunks ``(chunk_id, document_id)`` and questions ``(chunk_id)``."""
+    of_chunk = questions.groupBy("chunk_id").agg(F.count("*").alias("n_questions"))
+    found = chunks.select("chunk_id", "document_id").join(of_chunk, "chunk_id").groupBy("document_id").agg(F.sum("n_questions").alias("n_questions"))
+    return documents.select("document_id").join(found, "document_id", "left").fillna(0, ["n_questions"])
+
+
 def siblings(chunks: DataFrame, matched: DataFrame, key: str) -> DataFrame:
     """All chunks of the documents or threads that have a match."""
     return chunks.join(matched.select(key).distinct(), key, "left_semi")

@@ -14,6 +14,7 @@ from docloom.functions.packing import recursive_chunks, sentence_chunks, word_ch
 from docloom.operators import chunk, retrieve, sync, threads, verify
 from docloom.operators.detect import detect_docx
 from docloom.plans import recipes as R
+from docloom.plans.search import search
 from docloom.providers import HashedWords, embedding, question_rows
 from docloom.sources import pdf
 
@@ -649,6 +650,14 @@ def question_index_max(spark, sf_dir):
     return retrieve.best_question(scores).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""SELECT c_custkey::BIGINT AS document_id, count(l_orderkey) AS n_questions FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def count_questions(spark, sf_dir):
+    documents = R.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"))
+    chunks = R.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"))
+    return retrieve.question_counts(documents, chunks, R.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id")))
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations WHERE length(text) > 900)")
 def sibling_expansion(spark, sf_dir):
     turns = R.table(spark, sf_dir, "conversations")
@@ -731,6 +740,12 @@ def embed_documents(spark, sf_dir):
     return R.table(spark, sf_dir, "documents").select("doc_id", embedding(HashedWords(), "text").alias("embedding"))
 
 
+@query()
+def search_chunks(spark, sf_dir):
+    chunks = chunk.chunk_texts(R.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "source_id"), key="source_id")
+    return search(chunks.withColumn("embedding", embedding(HashedWords(), "content")), "what does the report say", HashedWords())
+
+
 @query()
 def chunk_questions(spark, sf_dir):
     chunks = _ticketed(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "content", F.lit("Summary").alias("section_heading"), T.ticket_ids("content").alias("ticket_ids"))
