@@ -73,39 +73,45 @@ def expect(model: Model, sequences: list[np.ndarray], counts: Counts) -> float:
         return 0.0
     _, flat, first, running = _layout(sequences)
     states = len(model.start)
-    step, seen = model.step.astype(np.float32), model.emit.astype(np.float32)[flat]
-    alpha, scale = np.empty((len(flat), states), np.float32), np.empty(len(flat), np.float32)
+    # a row for each state, so that numpy's inner loops run over the sequences
+    start, step = model.start.astype(np.float32)[:, None], model.step.astype(np.float32)
+    back, seen = np.ascontiguousarray(step.T), np.take(np.ascontiguousarray(model.emit.T, np.float32), flat, axis=1)
+    alpha, scale = np.empty((states, len(flat)), np.float32), np.empty(len(flat), np.float32)
     before = None
     for t, n in enumerate(running):
         at = slice(first[t], first[t] + n)
-        now = seen[at] * model.start.astype(np.float32) if before is None else (before[:n] @ step) * seen[at]
-        total = now.sum(1)
-        now /= total[:, None]
-        alpha[at], scale[at], before = now, total, now
-    beta, back = np.ones((0, states), np.float32), step.T.copy()
+        now = (start if before is None else back @ before[:, :n]) * seen[:, at]
+        total = now.sum(0)
+        now /= total
+        alpha[:, at], scale[at], before = now, total, now
+    seen /= scale
+    here, pairs = None, np.zeros((states, states))
     for t in range(len(running) - 1, -1, -1):
         n, at = running[t], slice(first[t], first[t] + running[t])
-        if t + 1 < len(running):
+        beta, here = here, np.ones((states, n), np.float32)
+        if beta is not None:
             m, after = running[t + 1], slice(first[t + 1], first[t + 1] + running[t + 1])
-            weight = seen[after] * beta / scale[after][:, None]
-            counts.step += (alpha[first[t] : first[t] + m].T @ weight) * step
-            here = np.ones((n, states), np.float32)
-            here[:m] = weight @ back
-        else:
-            here = np.ones((n, states), np.float32)
-        beta = here
-        alpha[at] *= here
-    counts.start += alpha[: running[0]].sum(0)
+            weight = seen[:, after] * beta
+            pairs += alpha[:, first[t] : first[t] + m] @ weight.T
+            here[:, :m] = step @ weight
+        alpha[:, at] *= here
+    counts.step += pairs * step
+    counts.start += alpha[:, : running[0]].sum(1)
     for s in range(states):
-        counts.emit[:, s] += np.bincount(flat, alpha[:, s], minlength=len(counts.emit))
+        counts.emit[:, s] += np.bincount(flat, alpha[s], minlength=len(counts.emit))
     return float(np.log(scale).sum())
 
 
-def first_guess(sequences: list[np.ndarray], share: np.ndarray, states: int, rounds: int, seed: int = 5) -> Model:
-    """Rounds of Baum-Welch over a few sequences from sticky, randomly tilted states."""
+def drawn(share: np.ndarray, states: int, seed: int = 5) -> Model:
+    """Sticky states whose emissions are the classes' shares, randomly tilted: where training starts."""
     draw = np.random.default_rng(seed)
     emit = share[:, None] * draw.gamma(2.0, 0.5, (len(share), states)) + 1e-12
-    model = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
+    return Model(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(0))
+
+
+def first_guess(sequences: list[np.ndarray], share: np.ndarray, states: int, rounds: int, seed: int = 5) -> Model:
+    """Rounds of Baum-Welch over sequences in memory, from ``drawn`` states."""
+    model = drawn(share, states, seed)
     for _ in range(rounds):
         counts = Counts.zero(states, len(share))
         expect(model, sequences, counts)

@@ -2,11 +2,12 @@
 
 Words are counted over all training texts.  The most frequent words are classes
 of their own; the others fall into classes by their endings, within which a
-word has its share of the class's counts.  Latent states are trained by
-Baum-Welch rounds whose expected counts are aggregated over all partitions; a
-text's score is the exact likelihood by the scaled forward recursion.  Only
-bounded tables (the frequent words, the classes' parameters) are broadcast: all
-other words meet their counts in a join.
+word has its share of the class's counts.  Latent states start from these counts
+and are trained by Baum-Welch rounds, each over all training texts, whose
+expected counts are aggregated over all partitions; a text's score is the exact
+likelihood by the scaled forward recursion.  Only bounded tables (the frequent
+words, the classes' parameters) are broadcast: all other words meet their counts
+in a join.
 """
 
 from __future__ import annotations
@@ -20,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import about, held_out, materialize, small_batches, table
-from docloom.llm.hmm import Counts, Model, expect, first_guess, log_likelihoods
+from docloom.llm.common import held_out, materialize, small_batches, table
+from docloom.llm.hmm import Counts, Model, drawn, expect, log_likelihoods
 
 #: Most words whose counts every task holds, and those of them that are classes of their own.
 HEAD_WORDS, OWN_CLASSES = 65_536, 16_384
 ENDINGS = 512
-STATES, ROUNDS = 8, 2
-#: About how many training texts the driver's first guess sees, and its rounds; the rounds over the whole corpus start from it.
-GUESS_TEXTS, GUESS_ROUNDS = 1_500, 12
+#: Latent states, and Baum-Welch rounds, each over all training texts.
+STATES, ROUNDS = 8, 14
 #: Training cuts longer texts into segments of so many tokens; scoring never does.
 SEGMENT = 1_024
 #: Tokens that a task handles side by side.
@@ -201,9 +201,8 @@ def language_model_scores(documents: DataFrame, id_col: str = "doc_id", text_col
     own_unused = np.arange(len(head_words), OWN_CLASSES)  # a small vocabulary leaves these classes without a word
     share[own_unused] = 0.0
     share /= share.sum()
-    sample = about(encoded.where("not held_out").select("classes", "row"), "row", GUESS_TEXTS, n_texts).toArrow().sort_by("row")
-    model = first_guess(_segments([np.frombuffer(b, np.uint16) for b in sample["classes"].to_pylist()]), share, STATES, GUESS_ROUNDS)
-    for _ in range(ROUNDS if n_texts else 0):
+    model = drawn(share, STATES)
+    for _ in range(ROUNDS if n_texts else 1):  # without a training text one round leaves the plain shares
         model = _baum_welch(encoded, model, share)
     inner = np.where((np.arange(CLASSES) >= OWN_CLASSES) & (np.arange(CLASSES) < _END), np.log10(class_mass), 0.0)
 
