@@ -73,33 +73,33 @@ def expect(model: Model, sequences: list[np.ndarray], counts: Counts) -> float:
         return 0.0
     _, flat, first, running = _layout(sequences)
     states = len(model.start)
-    # a row for each state, so that numpy's inner loops run over the sequences
-    start, step = model.start.astype(np.float32)[:, None], model.step.astype(np.float32)
-    back, seen = np.ascontiguousarray(step.T), np.take(np.ascontiguousarray(model.emit.T, np.float32), flat, axis=1)
-    alpha, scale = np.empty((states, len(flat)), np.float32), np.empty(len(flat), np.float32)
-    before = None
+    # each step's arrays have a row for each state, so that numpy's inner loops run over the sequences
+    start, step, emit = model.start.astype(np.float32)[:, None], model.step.astype(np.float32), np.ascontiguousarray(model.emit.T, np.float32)
+    back = np.ascontiguousarray(step.T)
+    alphas, weights, scales = [], [], []
+    now = None
     for t, n in enumerate(running):
-        at = slice(first[t], first[t] + n)
-        now = (start if before is None else back @ before[:, :n]) * seen[:, at]
+        seen = emit.take(flat[first[t] : first[t + 1]], 1)
+        now = (start if now is None else back @ now[:, :n]) * seen
         total = now.sum(0)
         now /= total
-        alpha[:, at], scale[at], before = now, total, now
-    seen /= scale
-    here, pairs = None, np.zeros((states, states))
+        seen /= total
+        alphas.append(now), weights.append(seen), scales.append(total)
+    beta, pairs = None, np.zeros((states, states))
     for t in range(len(running) - 1, -1, -1):
-        n, at = running[t], slice(first[t], first[t] + running[t])
-        beta, here = here, np.ones((states, n), np.float32)
+        weight = weights[t]
         if beta is not None:
-            m, after = running[t + 1], slice(first[t + 1], first[t + 1] + running[t + 1])
-            weight = seen[:, after] * beta
-            pairs += alpha[:, first[t] : first[t] + m] @ weight.T
-            here[:, :m] = step @ weight
-        alpha[:, at] *= here
+            weight[:, : running[t + 1]] *= beta
+            alphas[t][:, : running[t + 1]] *= beta
+        if t:
+            beta = step @ weight
+            pairs += alphas[t - 1][:, : running[t]] @ weight.T
     counts.step += pairs * step
-    counts.start += alpha[:, : running[0]].sum(1)
+    counts.start += alphas[0].sum(1)
+    alpha = np.concatenate(alphas, axis=1)
     for s in range(states):
         counts.emit[:, s] += np.bincount(flat, alpha[s], minlength=len(counts.emit))
-    return float(np.log(scale).sum())
+    return float(np.log(np.concatenate(scales)).sum())
 
 
 def drawn(share: np.ndarray, states: int, seed: int = 5) -> Model:

@@ -132,7 +132,7 @@ def _baum_welch(encoded: DataFrame, model: Model, share: np.ndarray) -> Model:
         counts, any_seen = Counts.zero(states, len(share)), False
         for sequences, _ in _portions(batches):
             any_seen = True
-            for group in _side_by_side(_segments(sequences)):
+            for group in _side_by_side(_segments(sequences), 800_000):
                 expect(model, group, counts)
         if any_seen:
             rows = np.vstack([counts.emit, counts.step, counts.start[None, :]])
