@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: bounds a Python worker's memory where texts are long.
-ARROW_ROWS = 256
+from docloom.functions.batches import small_batches as small_batches
+
 #: Most rows of a narrow table of keys that is sent to all tasks; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -59,13 +59,6 @@ def for_lookup(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -11,6 +11,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import cache
 from typing import Protocol
 
 import numpy as np
@@ -19,12 +20,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.config import EMBED_BATCH, EMBED_TRIES, EMBED_WAIT
+from docloom.functions.batches import small_batches
+
+#: Words whose places a worker keeps, and the longest that it keeps; others are hashed anew.
+KEPT_WORDS, KEPT_LENGTH = 1 << 17, 64
 
 
 class EmbeddingProvider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class _Places(dict):
+    """The place of each word in a vector; words that count downwards have theirs in a second one after it."""
+
+    def __init__(self, dimension: int) -> None:
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        place = h % self.dimension + (0 if h >> 63 else self.dimension)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = place
+        return place
+
+
+_places = cache(_Places)
+
+
 class HashedWords:
     """Hashed bag of words, normalised: the local default."""
 
@@ -32,12 +56,11 @@ class HashedWords:
         self.dimension = dimension
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = []
+        places, out = _places(self.dimension), []
         for text in texts:
-            v = np.zeros(self.dimension)
-            for w in re.findall(r"\w+", text.lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % self.dimension] += 1 if h >> 63 else -1
+            found = np.array([places[w] for w in re.findall(r"\w+", text.lower())], dtype=np.intp)
+            up, down = np.bincount(found, minlength=2 * self.dimension).reshape(2, self.dimension)
+            v = (up - down).astype(float)
             norm = np.linalg.norm(v)
             out.append((v / norm if norm else v).tolist())
         return out
@@ -61,6 +84,7 @@ def embed_texts(provider: EmbeddingProvider, texts: list[str], tries: int = EMBE
 
 def embedding(provider: EmbeddingProvider, c: Column | str) -> Column:
     """Column of vectors; call it after filters, which do not pass below it."""
+    small_batches()
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
