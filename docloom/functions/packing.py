@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.config import RECURSIVE_CHUNK, RECURSIVE_OVERLAP
+from docloom.functions.batches import small_batches
 
 _SENTENCE_END = re.compile(r"(?<=[.?!]) ")
 
@@ -85,6 +86,8 @@ def split_recursively(text: str | None) -> list[str]:
 
 
 def _arrow(split):
+    small_batches()
+
     @F.arrow_udf("array<string>")
     def run(column: pa.Array) -> pa.Array:
         return pa.array([split(t) if t is not None else [] for t in column.to_pylist()], pa.list_(pa.string()))

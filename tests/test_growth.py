@@ -47,3 +47,7 @@ def test_hashed_words_equal_plain_ones(monkeypatch):
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
                 v[h % dimension] += 1 if h >> 63 else -1
             assert got == (v / np.linalg.norm(v) if v.any() else v).tolist()
+
+
+def test_chunk_router_sends_small_batches(spark, tmp_path):
+    assert lowers_batches(spark, "chunk_router", write_documents(spark, tmp_path, ["one line"]))
