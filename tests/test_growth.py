@@ -51,3 +51,8 @@ def test_hashed_words_equal_plain_ones(monkeypatch):
 
 def test_chunk_router_sends_small_batches(spark, tmp_path):
     assert lowers_batches(spark, "chunk_router", write_documents(spark, tmp_path, ["one line"]))
+
+
+def test_packing_sends_small_batches(spark, tmp_path):
+    folder = write_documents(spark, tmp_path, ["one line"])
+    assert all(lowers_batches(spark, name, folder) for name in ("pack_words", "pack_sentences", "chunk_recursive"))
