@@ -9,6 +9,8 @@ from docloom.config import GROUP_LEAST, GROUP_MOST, GROUP_PRESENCE, GROUP_REPEAT
 from docloom.functions.text import ustrip, ustrip_sql
 
 SHEET = ("doc_id", "sheet_name")
+#: Rows of a sheet that meet in one task at once; what a sheet's blocks have in common is carried over by one row of each.
+BLOCK = 4096
 
 
 def _filled(cells: str = "cells") -> Column:
@@ -32,11 +34,18 @@ def _strategy() -> Column:
 
 
 def detect_sheets(rows: DataFrame) -> DataFrame:
-    """``(doc_id, sheet_name, strategy, group_by_column)`` from the shape of each sheet."""
-    filled = rows.where(_filled())
-    first = F.col("cells")[0]
-    shape = filled.withColumn("head_row", F.min("row_index").over(Window.partitionBy(*SHEET))).withColumn("value", F.when(F.col("row_index") > F.col("head_row"), first))
-    shape = shape.groupBy(*SHEET).agg(F.count("*").alias("n"), F.max(F.when(F.col("row_index") == F.col("head_row"), first)).alias("head"), F.count("value").alias("total"), F.count_distinct("value").alias("uniques"))
+    """``(doc_id, sheet_name, strategy, group_by_column)`` from the shape of each sheet.
+
+    Counted by the values of the first column, so that no task needs a whole sheet; the first filled row is taken out of the counts.
+    """
+    values = rows.where(_filled()).groupBy(*SHEET, F.col("cells")[0].alias("value")).agg(F.count("*").alias("k"), F.min("row_index").alias("low"), F.max("row_index").alias("high"))
+    known = F.col("value").isNotNull()
+    shape = values.groupBy(*SHEET).agg(
+        F.sum("k").alias("n"), F.min_by("value", "low").alias("head"), F.min_by(F.col("high") == F.col("low"), "low").alias("alone"),
+        F.sum(F.when(known, F.col("k")).otherwise(0)).alias("total"), F.count("value").alias("uniques"),
+    )
+    headed = F.col("head").isNotNull()
+    shape = shape.withColumns({"total": F.col("total") - headed.cast("int"), "uniques": F.col("uniques") - (headed & F.col("alone")).cast("int")})
     return shape.select(*SHEET, _strategy().alias("strategy"), F.when(_strategy() == "group_by_column", F.col("head")).alias("group_by_column"))
 
 
@@ -81,39 +90,67 @@ def single_chunks(rows: DataFrame, keep_header: bool = False) -> DataFrame:
     return whole.where("last > 0").select(*SHEET, F.lit(0).alias("chunk_index"), content.alias("content"))
 
 
+def _long_cells(cells: str) -> Column:
+    return F.expr(f"filter(transform({cells}, c_ -> {ustrip_sql('c_')}), c_ -> length(c_) > {LONG_HEADER})")
+
+
+def _of_header() -> Column:
+    return F.concat(F.lit("["), "sheet_name", F.lit("]\n"), F.array_join("long", "\n")).alias("content")
+
+
 def header_only_chunks(rows: DataFrame) -> DataFrame:
     """Of sheets that have nothing but a header row: its long cells, if any."""
     only = rows.groupBy(*SHEET).agg(F.max("row_index").alias("last"), F.min_by("cells", "row_index").alias("cells")).where("last = 0")
-    long = F.expr(f"filter(transform(cells, c_ -> {ustrip_sql('c_')}), c_ -> length(c_) > {LONG_HEADER})")
-    return only.withColumn("long", long).where(F.size("long") > 0).select(*SHEET, F.lit(0).alias("chunk_index"), F.concat(F.lit("["), "sheet_name", F.lit("]\n"), F.array_join("long", "\n")).alias("content"))
+    return only.withColumn("long", _long_cells("cells")).where(F.size("long") > 0).select(*SHEET, F.lit(0).alias("chunk_index"), _of_header())
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """A row for each block of a sheet's rows: the sheet's ``strategy``, ``headers`` and ``last`` row, and of the blocks before
+    it the number of row chunks, ``before``, and the last filled first cell, ``above``."""
+    first, data = F.col("cells")[0], F.col("row_index") > 0
+    # blank cells only where 0
+    place = F.coalesce(F.expr(f"array_position(transform(cells, c_ -> coalesce({ustrip_sql('c_')}, '') <> ''), true)"), F.lit(0))
+    heads = data & (ustrip(first) != "")
+    parts = rows.withColumn("place", place).groupBy(*SHEET, "block", "place").agg(
+        F.count(F.when(data, 1)).alias("k"), F.max("row_index").alias("last"), F.max(F.when(~data, F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))).alias("headers"),
+        F.max(F.when(heads, F.col("row_index"))).alias("at"), F.max_by(F.when(heads, first), F.when(heads, F.col("row_index"))).alias("tail"),
+    )
+    whole = Window.partitionBy(*SHEET)
+    parts = parts.withColumns({"last": F.max("last").over(whole), "headers": F.max("headers").over(whole)}).join(detect_sheets(rows).select(*SHEET, "strategy"), list(SHEET), "left").fillna("single_chunk", ["strategy"])
+    chunks = F.sum(F.when(F.col("place").between(1, F.size("headers")), F.col("k")).otherwise(0))
+    blocks = parts.groupBy(*SHEET, "block", "strategy", "headers", "last").agg(chunks.alias("k"), F.max_by("tail", "at").alias("tail"))
+    earlier = Window.partitionBy(*SHEET).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumns({"before": F.coalesce(F.sum("k").over(earlier), F.lit(0)), "above": F.last("tail", ignorenulls=True).over(earlier)}).drop("k", "tail")
 
 
 def chunk_sheets(rows: DataFrame) -> DataFrame:
     """Chunks ``(doc_id, sheet_name, chunk_index, content, strategy)`` of all sheets by their detected strategies.
 
-    Everything is done within one partitioning by sheet: headers, the shape
-    that decides, group values filled downwards, and the numbers.  A row's
-    chunk has a key: its own number, its group, or none for a sheet's only one.
+    A sheet's rows, whose indexes differ, are dealt in blocks of ``BLOCK``.  Group values are filled downwards and numbers are
+    counted within a block, from what :func:`_blocks` carries over; only the text of a group or of a sheet's only chunk is put
+    together from all of its blocks.
     """
-    sheet = Window.partitionBy(*SHEET)
-    down = sheet.orderBy("row_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first, filled, data = F.col("cells")[0], _filled(), F.col("row_index") > 0
-    seen = rows.withColumns({"filled": filled, "head_row": F.min(F.when(filled, F.col("row_index"))).over(sheet), "headers": F.max(F.when(~data, F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))).over(sheet)})
-    seen = seen.withColumn("value", F.when(F.col("filled") & (F.col("row_index") > F.col("head_row")), first))
-    seen = seen.withColumns({"nth": F.dense_rank().over(sheet.orderBy(F.col("value").asc_nulls_last())), "group": F.last(F.when(data & (ustrip(first) != ""), first), ignorenulls=True).over(down)})
-    shape = {
-        "n": F.sum(F.col("filled").cast("int")).over(sheet), "total": F.count("value").over(sheet), "uniques": F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("nth"))).over(sheet), F.lit(0)),
-        "head": F.max(F.when(F.col("row_index") == F.col("head_row"), first)).over(sheet), "last": F.max("row_index").over(sheet),
-    }
-    seen = seen.withColumns(shape).withColumn("strategy", _strategy())
-    single, grouped = F.col("strategy") == "single_chunk", F.col("strategy") == "group_by_column"
-    seen = seen.withColumns({"line": F.when(single, plain()).otherwise(labelled("headers", "cells")), "key": F.when(single, "").when(grouped, F.col("group")).otherwise(F.col("row_index").cast("string"))})
-    kept = seen.where(data & F.when(single, True).when(grouped, F.col("group").isNotNull()).otherwise(F.col("line") != ""))
-    chunks = kept.groupBy(*SHEET, "strategy", "key").agg(F.min("row_index").alias("at"), F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("row_index", "line")))).alias("ls"))
-    body = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
-    label = F.when(F.col("strategy") == "group_by_column", F.concat(F.lit(" "), "key", F.lit("\n"))).when(body != "", F.lit("\n")).otherwise(F.lit(""))
-    out = _numbered(chunks, "at").select(*SHEET, "chunk_index", F.concat(F.lit("["), "sheet_name", F.lit("]"), label, body).alias("content"), "strategy")
-    return out.unionByName(header_only_chunks(rows).withColumn("strategy", F.lit("single_chunk")))
+    rows = rows.withColumn("block", F.expr(f"row_index div {BLOCK}"))
+    blocks = _blocks(rows)
+    own = Window.partitionBy(*SHEET, "block").orderBy("row_index")
+    seen = rows.where("row_index > 0").join(blocks, [*SHEET, "block"])
+
+    lines = seen.where("strategy = 'row_based'").withColumn("line", labelled("headers", "cells")).where("line <> ''")
+    by_row = lines.select(*SHEET, (F.col("before") + F.row_number().over(own) - 1).alias("chunk_index"), F.concat(F.lit("["), "sheet_name", F.lit("]\n"), "line").alias("content"), "strategy")
+
+    first, single = F.col("cells")[0], F.col("strategy") == "single_chunk"
+    down = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = seen.where("strategy <> 'row_based'").withColumn("group", F.coalesce(F.last(F.when(ustrip(first) != "", first), ignorenulls=True).over(down), "above"))
+    filled = filled.withColumns({"line": F.when(single, plain()).otherwise(labelled("headers", "cells")), "key": F.when(single, "").otherwise(F.col("group"))}).where("key is not null")
+    joined = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(text) != "", F.struct(order, text)))), lambda x: x[text]), "\n")
+    parts = filled.groupBy(*SHEET, "block", "strategy", "key").agg(F.min("row_index").alias("at"), joined("row_index", "line").alias("text"))
+    chunks = parts.groupBy(*SHEET, "strategy", "key").agg(F.min("at").alias("at"), joined("block", "text").alias("body"))
+    label = F.when(single, F.when(F.col("body") != "", F.lit("\n")).otherwise(F.lit(""))).otherwise(F.concat(F.lit(" "), "key", F.lit("\n")))
+    others = _numbered(chunks, "at").select(*SHEET, "chunk_index", F.concat(F.lit("["), "sheet_name", F.lit("]"), label, "body").alias("content"), "strategy")
+
+    only = blocks.where("last = 0").select(*SHEET, _long_cells("headers").alias("long")).where(F.size("long") > 0)
+    headers = only.select(*SHEET, F.lit(0).alias("chunk_index"), _of_header(), F.lit("single_chunk").alias("strategy"))
+    return by_row.unionByName(others).unionByName(headers)
 
 
 def row_hashes(rows: DataFrame) -> DataFrame:
